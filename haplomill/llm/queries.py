@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from . import chat_format, packing, sstable, url_filter
+from . import chat_format, line_dedup, minhash, packing, simhash, sstable, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_minhash": minhash.op2_minhash,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_chat_format": chat_format.op4_chat_format,
         "op5_token_shards": sstable.op5_token_shards,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op8_simhash": simhash.op8_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_line_dedup": line_dedup.SQL,
         "op4_chat_format": chat_format.SQL,
         "op6_url_filter": url_filter.SQL,
     }
