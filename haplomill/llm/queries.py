@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, minhash, packing, simhash, sstable, url_filter
+from . import ann, chat_format, line_dedup, minhash, packing, quality, simhash, sstable, url_filter
 
 
 def queries() -> dict:
@@ -13,7 +13,9 @@ def queries() -> dict:
         "op4_chat_format": chat_format.op4_chat_format,
         "op5_token_shards": sstable.op5_token_shards,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_nearest": ann.op7_nearest,
         "op8_simhash": simhash.op8_simhash,
+        "op10_quality": quality.op10_quality,
     }
 
 
