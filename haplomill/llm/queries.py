@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, line_dedup, minhash, packing, quality, simhash, sstable, url_filter
+from . import ann, chat_format, line_dedup, minhash, packing, pieces, quality, simhash, sstable, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_nearest": ann.op7_nearest,
         "op8_simhash": simhash.op8_simhash,
+        "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_quality": quality.op10_quality,
     }
 
