@@ -1,4 +1,50 @@
-STAGES = []
+"""Corpus pipeline: quality filter, line deduplication, near-duplicate removal, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame that is
+written as Parquet and read again for the next one. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from haplomill.llm import line_dedup, near_copies, packing, quality
+from haplomill.llm.common import cut, table
+from haplomill.llm.tokens import vocabulary
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    scored = quality.score(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go, site by site; n_chars follows the text."""
+    found = line_dedup.drop_lines(docs).withColumn("n_chars", F.length("text").cast("long") if "n_chars" in docs.columns else F.lit(None))
+    return found.select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact or near copies stays."""
+    return near_copies.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences; one row per piece, with its ids."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [("quality classifier", filter_quality), ("line dedup", drop_boilerplate), ("SimHash near-dedup", drop_copies), ("packing", pack)]
+
+#: Classifier, near-duplicates and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut(docs, f"stage-{i}")
+    return docs
