@@ -133,7 +133,7 @@ _simple("reads_x_variants", lambda s, d: J.interval_join(
     table(s, d, "part").select((F.col("p_partkey") % 5).alias("chrom"), (F.col("p_partkey") * 37).alias("pos")), ["chrom"], 500).select("chrom", "read", "pos"),
     "SELECT o_custkey%5 chrom, o_orderkey AS read, p_partkey*37 pos FROM orders JOIN part ON o_custkey%5=p_partkey%5 AND p_partkey*37 BETWEEN o_custkey*40 AND o_custkey*40+cast(floor(o_totalprice/2000) AS bigint)")
 _simple("mate_pair_join", lambda s, d: J.mate_pairs(raw_calls(s, d).select(F.col("frag").alias("read"), (F.col("line") % 2).alias("mate"), F.col("snp").alias("pos"))),
-    f"WITH {RAW()}, g AS (SELECT frag AS read, min(snp) FILTER (WHERE line%2=0) "first", min(snp) FILTER (WHERE line%2=1) "second" FROM raw GROUP BY frag) SELECT read, "first", "second", abs("second"-"first") isize FROM g WHERE "first" IS NOT NULL AND "second" IS NOT NULL")
+    f"""WITH {RAW()}, g AS (SELECT frag AS read, min(snp) FILTER (WHERE line%2=0) "first", min(snp) FILTER (WHERE line%2=1) "second" FROM raw GROUP BY frag) SELECT read, "first", "second", abs("second"-"first") isize FROM g WHERE "first" IS NOT NULL AND "second" IS NOT NULL""")
 
 
 def _mates(spark, d: str) -> DataFrame:
