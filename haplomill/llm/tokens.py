@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -33,6 +34,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 BYTE_LETTERS = _byte_letters()
+LETTER_BLANK = chr(BYTE_LETTERS[32])
 
 
 class Encoder:
@@ -41,13 +43,14 @@ class Encoder:
     Special strings inside a text are ordinary text. Memory is bounded by cache_size stretches in each of two generations.
     """
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -57,18 +60,27 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
+    def _merge(self, piece: str) -> bytes:
+        """The library's merges over one pre-token."""
+        letters = piece.replace(" ", LETTER_BLANK) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.cache.get(piece) or self.old.get(piece) or self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= self.size:
+                self.pieces.clear()
+            ids = self.pieces[piece] = self._merge(piece)
+        return ids
+
     def _stretch(self, text: str) -> bytes:
-        """The library's merges over each pre-token of one stretch."""
-        pieces, merge, out = self.pieces, self.tokenizer.model.tokenize, []
-        for piece in PRETOKEN.findall(text):
-            ids = pieces.get(piece)
-            if ids is None:
-                if len(pieces) >= self.size:
-                    pieces.clear()
-                found = merge(piece.encode().decode("latin-1").translate(BYTE_LETTERS))
-                ids = pieces[piece] = np.array([t.id for t in found], dtype=self.dtype).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        """The ids of one stretch; a word, or a word and one stop, is cut without the pattern."""
+        if text[0] == " " or text[0].isalpha():
+            if text[1:].isalpha() or len(text) == 1:
+                return self._merge(text)
+            if text[-1] in ".," and (text[1:-1].isalpha() or len(text) == 2 and text[0] != " "):
+                return self._piece(text[:-1]) + self._piece(text[-1])
+        return b"".join(map(self._piece, PRETOKEN.findall(text)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         odd = [bool(t) and ODD_SPACE.search(t) is not None for t in texts]
