@@ -53,7 +53,8 @@ def drop_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, leas
         # what a page holds of its host's boilerplate, joined by hash and gathered per distinct page
         key = [own.alias("_own"), F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit("page"), F.col("text")).alias("_k2")]
         asked = docs.where(F.col("text").isNotNull()).select(*key, F.explode(F.array_distinct(_hashes(lines))).alias("h")).distinct()
-        held = asked.join(found, (F.col("_own") == F.col("_host")) & (F.col("h") == found.h)).groupBy("_own", "_k1", "_k2").agg(F.collect_set(found.h).alias("_bad"))
+        listed = found.select("_host", F.col("h").alias("_line"))
+        held = asked.join(listed, (F.col("_own") == F.col("_host")) & (F.col("h") == F.col("_line"))).groupBy("_own", "_k1", "_k2").agg(F.collect_set("_line").alias("_bad"))
         joined = docs.select("*", *key).join(held.withColumnsRenamed({"_own": "_o", "_k1": "_j1", "_k2": "_j2"}), (F.col("_own") == F.col("_o")) & (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")), "left")
     kept = F.filter(lines, lambda x: (x == "") | ~F.array_contains(F.col("_bad"), _hash(x)))
     some = joined.withColumn("_kept", F.when(F.col("_bad").isNull(), lines).otherwise(kept))
