@@ -4,9 +4,10 @@ Text becomes marked words (a blank is written as a mark before its word). The di
 sorted, which is the depth-first order of their trie; the forward state of each prefix stays on a stack, so a word
 only computes what lies beyond the prefix it shares with the word before.
 
-For a unigram vocabulary the state of a prefix is its best score and last piece (Viterbi). A merge vocabulary has no
+A unigram vocabulary would keep the best score and last piece of a prefix (Viterbi). A merge vocabulary has no
 additive score: a path is right if neighbouring pieces stay apart when the merges run over the two of them alone,
-and exactly one last piece of each prefix satisfies that, so the same pass keeps that piece. Characters without a
+and exactly one last piece of each prefix satisfies that, so the same pass keeps that piece. An automaton over
+the pieces names those that may end at each prefix. Characters without a
 piece fall back to byte pieces, and never join a neighbour.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +28,9 @@ from .tokens import vocabulary
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Where no piece holds a line feed, or a letter before a stop or comma, words end there as well.
-SHORT = re.compile(f"\\n|{MARK}*[^{MARK}\\n]*?[^\\W\\d_](?=[.,])|{MARK}*[^{MARK}\\n]+|{MARK}+")
-JOINED = re.compile(r"\n|[^\W\d_][.,]")
+LETTER = re.compile(r"[^\W\d_]")
+#: Characters that stand alone in the vocabularies known here; checked against the pieces before use.
+SINGLE = "\n0123456789"
 ENCODED = "doc_id long, n_ids long, ids array<int>, ids_crc32 long, decoded_sha256 string, round_trip boolean"
 
 
@@ -53,14 +55,30 @@ class Pieces:
                 self.ids[piece] = i
                 self.shown[i] = piece.replace(MARK, " ").encode()
         self.scores = scores
-        self.longest = max(map(len, self.ids))
         self.inside = any(MARK in p.lstrip(MARK) for p in self.ids)  # then no blank separates words
-        self.word = WORD if any(JOINED.search(p) for p in self.ids) else SHORT
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.word = self._word()
+        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.nodes: dict[str, tuple] = {}
+        self.root = self.nodes[""] = ((), {}, "")
+        self.n_pairs = 0
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.size = cache_size
 
+    def _word(self) -> re.Pattern:
+        """What a text is cut into: no piece spans two words.
+
+        Merges only make pieces, so two characters that no piece holds side by side always stay apart. Where that
+        holds for letters against all else and for the single characters, they end words as well as blanks do.
+        """
+        beside = {(a, b) for p in self.ids for a, b in zip(p, p[1:]) if a != MARK}
+        odd = {c for a, b in beside if bool(LETTER.match(a)) != bool(LETTER.match(b)) for c in (a, b) if LETTER.match(c)}
+        letter = lambda c: bool(LETTER.match(c)) and c not in odd
+        if len(odd) > 20 or any(letter(a) != letter(b) or a in SINGLE or b in SINGLE for a, b in beside):
+            return WORD
+        out = re.escape("".join(sorted(odd)))
+        return re.compile(f"{MARK}*[^\\W\\d_{out}]+|{MARK}*[{SINGLE}]|{MARK}*(?:(?![{SINGLE}{MARK}])[\\W\\d_{out}])+|{MARK}+")
+
     def merged(self, text: str) -> list[str]:
         """The merges as defined: the best-scored adjacent pair first, leftmost among equals."""
         parts, ids, scores = list(text), self.ids, self.scores
@@ -75,69 +93,94 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _stands(self, piece: str) -> bool:
-        found = self.whole.get(piece)
+    def _grow(self, node: tuple, char: str) -> tuple:
+        """The node after a character: the pieces that may end there, longest first, and the nodes that follow.
+
+        A node is named by the longest suffix of what was read that begins some piece, so there are no more nodes
+        than beginnings of pieces (and characters without one).
+        """
+        name = node[2] + char
+        while len(name) > 1 and name not in self.prefixes:
+            name = name[1:]
+        found = self.nodes.get(name)
         if found is None:
-            found = self.whole[piece] = self.merged(piece) == [piece]
+            ends = []
+            for at in range(len(name)):
+                piece = name[at:]
+                known = self.ids.get(piece)
+                if known is not None and self.merged(piece) == [piece]:
+                    ends.append((piece, len(piece), {}, array("H", [known]).tobytes()))
+                elif len(piece) == 1:
+                    ends.append((piece, 1, {}, array("H", [self.byte_ids[b] for b in piece.encode()]).tobytes()))
+            found = (tuple(ends), {}, name)
+            if len(self.nodes) < 400_000:
+                self.nodes[name] = found
+        if len(self.nodes) < 400_000:
+            node[1][char] = found
         return found
 
-    def _apart(self, left: str, right: str) -> bool:
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(left + right) == [left, right]
+    def _apart(self, left: str, right: str, known: dict[str, bool]) -> bool:
+        self.n_pairs += 1
+        if self.n_pairs > 1_500_000:
+            self.n_pairs = 0
+            for ends, _, _ in self.nodes.values():
+                for e in ends:
+                    e[2].clear()
+        found = known[left] = self.merged(left + right) == [left, right]
         return found
 
     def forward(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """(word, its ids as little-endian 16-bit integers) of sorted distinct words."""
-        before, last = "", [""]  # last[i]: last piece of the first i characters
-        ids, longest = self.ids, self.longest
+        before = ""
+        nodes, last, ids = [self.root], [""], [b""]  # of each prefix: node, last piece, ids
         for word in words:
             n, shared = min(len(word), len(before)), 0
             while shared < n and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    if piece not in ids:
-                        if start < end - 1:
-                            continue
-                    elif not self._stands(piece):
-                        continue
-                    left = last[start]
-                    if left is None or start and not self._apart(left, piece):
+            del nodes[shared + 1 :], last[shared + 1 :], ids[shared + 1 :]
+            node, end = nodes[-1], shared
+            for char in word[shared:]:
+                node = node[1].get(char) or self._grow(node, char)
+                nodes.append(node)
+                end += 1
+                for piece, size, known, own in node[0]:
+                    left = last[end - size]
+                    if left is None:
                         continue
+                    if left:
+                        apart = known.get(left)
+                        if apart is None:
+                            apart = self._apart(left, piece, known)
+                        if not apart:
+                            continue
                     last.append(piece)
+                    ids.append(ids[end - size] + own)
                     break
                 else:
                     last.append(None)
-            yield word, self._path(word, last)
+                    ids.append(b"")
+            yield word, ids[-1] if last[-1] is not None else self._whole(word)
             before = word
 
-    def _path(self, word: str, last: list) -> bytes:
-        parts, at = [], len(word)
-        while at:
-            if last[at] is None:
-                parts = self.merged(word)[::-1]
-                break
-            parts.append(last[at])
-            at -= len(last[at])
+    def _whole(self, word: str) -> bytes:
         out: list[int] = []
-        for p in reversed(parts):
+        for p in self.merged(word):
             found = self.ids.get(p)
             out += [found] if found is not None else [self.byte_ids[b] for b in p.encode()]
-        return np.array(out, dtype="<u2").tobytes()
+        return array("H", out).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         split = [[m] if self.inside and m else self.word.findall(m) for m in marked]
         seen = set().union(*split) if split else set()
-        if len(self.cache) + len(seen) > self.size:
-            self.cache = {w: self.cache[w] for w in seen if w in self.cache}
-        self.cache.update(self.forward(sorted(seen.difference(self.cache))))
-        get = self.cache.__getitem__
+        if len(self.cache) + len(seen) > self.size:  # the older half goes, except what is asked for again
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
+        fresh = seen.difference(cache)
+        for w in fresh.intersection(old):
+            cache[w] = old[w]
+        cache.update(self.forward(sorted(fresh.difference(old))))
+        get = cache.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
     def decode(self, ids: bytes) -> str:
