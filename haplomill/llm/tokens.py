@@ -1,21 +1,40 @@
 """Token ids of whole texts by the tokenizers library, cached by stretches that the pre-tokenizer never joins.
 
-A byte-level pre-tokenizer of this family always cuts between a character that isn't white space and a following
-blank or line feed. A text without other white space thus falls into stretches whose ids don't depend on what
-stands around them, and repeated stretches are looked up. Any other text goes to the library whole.
+A byte-level pre-tokenizer of this family cuts a text into words with the blank before them, and into what lies
+between words. Both are looked up, so that a distinct word is merged once. What lies between is cut by the
+pre-tokenizer's own pattern; that gives the same cuts as in the whole text, as a blank before a word goes to the word
+and a line feed before one stands alone. A text with other white space, numerals that aren't digits, or an
+apostrophe whose meaning depends on what stands before it, goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
 from array import array
 
 import numpy as np
 import regex
 
-STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-ODD_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+STRETCH = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+|(?:[\W\d_](?<![ \n])|[ \n](?![^\W\d_]))+|\n")
+
+
+def _odd() -> frozenset[str]:
+    """White space but blank and line feed, and what `re` takes for a word character though it is neither letter nor digit."""
+    space = lambda c: c not in " \n" and (c.isspace() or c in "\x1c\x1d\x1e\x1f\x85")
+    return frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if space(c) or c.isnumeric() and not c.isalpha() and not c.isdecimal())
+
+
+ODD = _odd()
+#: An apostrophe that may or may not begin a word's ending.
+LOOSE = re.compile(r"(?<![^\W\d_])'(?=[stmdrvl])")
+
+
+def odd(text: str) -> bool:
+    return not ODD.isdisjoint(text) or "'" in text and LOOSE.search(text) is not None
+
+
 #: How this family of byte-level tokenizers cuts a text before merging (fixed by the vocabulary file).
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -74,17 +93,11 @@ class Encoder:
         return ids
 
     def _stretch(self, text: str) -> bytes:
-        """The ids of one stretch; a word, or a word and one stop, is cut without the pattern."""
-        if text[0] == " " or text[0].isalpha():
-            if text[1:].isalpha() or len(text) == 1:
-                return self._merge(text)
-            if text[-1] in ".," and (text[1:-1].isalpha() or len(text) == 2 and text[0] != " "):
-                return self._piece(text[:-1]) + self._piece(text[-1])
-        return b"".join(map(self._piece, PRETOKEN.findall(text)))
+        return self._merge(text) if text[-1].isalpha() else b"".join(map(self._piece, PRETOKEN.findall(text)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        odd = [bool(t) and ODD_SPACE.search(t) is not None for t in texts]
-        split = [STRETCH.findall(t) if t and not o else () for t, o in zip(texts, odd)]
+        apart = [bool(t) and odd(t) for t in texts]
+        split = [STRETCH.findall(t) if t and not o else () for t, o in zip(texts, apart)]
         seen = set().union(*split) if split else set()
         if len(self.cache) + len(seen) > self.size:  # the older half goes, except what is asked for again
             self.old, self.cache = self.cache, {}
@@ -94,7 +107,7 @@ class Encoder:
             cache[stretch] = self._stretch(stretch) if ids is None else ids
         get = cache.__getitem__
         out = [b"".join(map(get, s)) for s in split]
-        whole = [i for i, o in enumerate(odd) if o]
+        whole = [i for i, o in enumerate(apart) if o]
         for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else ()):
             out[i] = ids
         return out
