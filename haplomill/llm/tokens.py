@@ -5,6 +5,10 @@ between words. Both are looked up, so that a distinct word is merged once. What
 pre-tokenizer's own pattern; that gives the same cuts as in the whole text, as a blank before a word goes to the word
 and a line feed before one stands alone. A text with other white space, numerals that aren't digits, or an
 apostrophe whose meaning depends on what stands before it, goes to the library whole.
+
+Most texts need no pattern at all. Before a blank that is followed by anything but white space the pre-tokenizer always
+cuts, and a single line feed between other characters stands alone; texts whose blanks and line feeds are all of these
+kinds are split there and looked up by what lies between.
 """
 
 from __future__ import annotations
@@ -54,6 +58,34 @@ def _byte_letters() -> dict[int, int]:
 
 BYTE_LETTERS = _byte_letters()
 LETTER_BLANK = chr(BYTE_LETTERS[32])
+#: Marks that stand alone when they end a word.
+MARKS = frozenset(".,;:!?)")
+
+
+class Chunks(dict):
+    """Ids by chunk of what `ids` gives for `lead` and the chunk, in two generations; None where a chunk begins with white space."""
+
+    def __init__(self, merge, ids, lead: str, size: int, longest: int = 40):
+        self.merge, self.ids, self.lead, self.size, self.longest, self.old = merge, ids, lead, size, longest, {}
+        self.marks = {m: merge(m) for m in MARKS}
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        ids = self.old.get(chunk)
+        if ids is None:
+            if chunk.isalpha():
+                ids = self.merge(self.lead + chunk)
+            elif not chunk or chunk[0].isspace():
+                return None
+            elif chunk[-1] in MARKS and chunk[:-1].isalpha():
+                ids = self[chunk[:-1]] + self.marks[chunk[-1]]
+            else:
+                ids = self.ids(self.lead + chunk)
+        if len(chunk) <= self.longest:  # longer ones seldom come again
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
 
 
 class Encoder:
@@ -74,6 +106,8 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.size = cache_size
+        self.chunks, self.starts = Chunks(self._merge, self._apart, " ", cache_size), Chunks(self._merge, self._apart, "", cache_size // 4)
+        self.feed = self._merge("\n")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -95,7 +129,28 @@ class Encoder:
     def _stretch(self, text: str) -> bytes:
         return self._merge(text) if text[-1].isalpha() else b"".join(map(self._piece, PRETOKEN.findall(text)))
 
+    def _apart(self, text: str) -> bytes:
+        return b"".join(map(self._piece, PRETOKEN.findall(text))) if ODD.isdisjoint(text) else self._library([text])[0]
+
+    def _blanks(self, text: str) -> bytes | None:
+        """The ids of a text split at line feeds and blanks; None if one of them lies beside other white space or at an end."""
+        get, start, out = self.chunks.__getitem__, self.starts.__getitem__, []
+        try:
+            for line in text.split("\n"):
+                chunks = iter(line.split(" "))
+                out.append(start(next(chunks)) + b"".join(map(get, chunks)))
+        except TypeError:  # a chunk is empty or begins with white space
+            return None
+        return self.feed.join(out)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        out = [self._blanks(t) if t else b"" for t in texts]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self._patterned([texts[i] for i in rest]) if rest else ()):
+            out[i] = ids
+        return out
+
+    def _patterned(self, texts: list[str]) -> list[bytes]:
         apart = [bool(t) and odd(t) for t in texts]
         split = [STRETCH.findall(t) if t and not o else () for t, o in zip(texts, apart)]
         seen = set().union(*split) if split else set()
