@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import calls as C, evaluate as E, likelihood as L, link as J
-from .plans import phase as P
+from .plans import genotype as G, phase as P
 from .plans.components import connected_components
 
 QUERIES: dict = {}
@@ -107,6 +107,8 @@ _BIT = "(CAST(mask AS bigint) >> CAST(snp%6 AS int)) & 1"
 _simple("exact_ml_phase", lambda s, d: P.exact_phase(calls(s, d, 6), F.floor(F.col("snp") / 6).cast("long"), 6), CALLS6 + f""", g AS (SELECT cast(floor(snp/6.0) AS bigint) comp, frag, mask, sum(CASE WHEN allele=({_BIT}) THEN {OK} ELSE {ER} END) a, sum(CASE WHEN allele=({_BIT}) THEN {ER} ELSE {OK} END) b
 FROM calls, (SELECT unnest(range(32)) mask) GROUP BY ALL), s AS (SELECT comp, mask, round(sum({LSE.format('a', 'b')}),6) ll FROM g GROUP BY ALL) SELECT comp, cast(mask AS int) mask, ll FROM s QUALIFY row_number() OVER (PARTITION BY comp ORDER BY ll DESC, mask)=1""")
 query("maxcut_phase")(lambda s, d: P.phase(calls(s, d)))
+query("refined_phase")(lambda s, d: G.refine(calls(s, d), P.phase(calls(s, d))))
+query("local_genotypes")(lambda s, d: G.genotype(calls(s, d), P.phase(calls(s, d))))
 
 def reads(spark, d: str) -> DataFrame:
     """Events as barcoded reads: user_id is the barcode, seconds are the position."""

@@ -136,3 +136,57 @@ def block_lines(phased: DataFrame, variants: DataFrame, coverage: DataFrame) ->
     g = rows.groupBy("comp").agg(F.min("snp").alias("a"), F.max("snp").alias("b"), F.count("*").alias("k"), (F.max("pos") - F.min("pos")).alias("span"), F.max("n").alias("f"), F.array_sort(F.collect_list(F.struct("snp", line.alias("line")))).alias("l"))
     head = F.format_string("BLOCK: offset: %d len: %d phased: %d SPAN: %d fragments %d", F.col("a") + 1, F.col("b") - F.col("a") + 1, "k", "span", "f")
     return g.select("comp", F.concat_ws("\n", head, F.array_join(F.transform("l", lambda x: x.line), "\n"), F.lit("******** ")).alias("value"))
+
+
+#: Tags that a phased variant keeps, and the tags written for it (fixed by the output format).
+KEPT, WRITTEN = ("AD", "DP", "GQ"), ("PQ", "PD", "PS")
+TAG_LINES = [
+    '##FORMAT=<ID=PS,Number=1,Type=Integer,Description="Phase set: position of its first variant">',
+    '##FORMAT=<ID=PQ,Number=1,Type=Integer,Description="Phred quality of the phase">',
+    '##FORMAT=<ID=PD,Number=1,Type=Integer,Description="Fragments that cover the variant">',
+]
+
+
+def phased_variant_lines(spark: SparkSession, path: str, phased: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(part, ix, value): a variant file with phase; part 0 is its header, ix the order within a part.
+
+    phased: snp (data line number), hap (0, 1 or null), first_pos and size of its block, post_hap (log10), n (fragments).
+    A variant whose posterior is below the threshold gets ./. and one without a block of two keeps its genotype; both
+    get an empty phase set. An unphased variant keeps all its other tags, a phased one those in KEPT.
+    """
+    head = numbered(spark, path, lambda v: v.startswith("#") & ~v.rlike("^##FORMAT=<ID=(PQ|PD|PS),"))
+    head = head.select(F.lit(0).alias("part"), "ix", F.when(F.col("value").startswith("#CHROM"), F.concat(F.lit("\n".join(TAG_LINES) + "\n"), F.col("value"))).otherwise(F.col("value")).alias("value"))
+    x = numbered(spark, path, lambda v: ~v.startswith("#") & (F.trim(v) != "")).join(phased, F.col("ix") == F.col("snp"), "left")
+    x = x.withColumn("c", F.split("value", "\t")).withColumn("f", F.split(F.col("c")[8], ":")).withColumn("s", F.split(F.col("c")[9], ":"))
+    gt = F.col("s")[0]
+    a, b = F.substring(gt, 1, 1), F.substring(gt, 3, 1)
+    third = (a == "2") | (b == "2")
+    one, two = F.when(third, a).otherwise("0"), F.when(third, b).otherwise("1")
+    in_block = F.coalesce(F.col("hap").isNotNull() & (F.col("size") >= 2), F.lit(False))
+    kind = F.when(~in_block, 0).when(F.col("post_hap") < F.log10(F.lit(threshold)), 2).otherwise(1)
+    x = x.withColumn("kind", kind).withColumn("gt", F.when(F.col("kind") == 0, F.concat(a, F.lit("/"), b)).when(F.col("kind") == 2, "./.").when(F.col("hap") == 0, F.concat_ws("|", one, two)).otherwise(F.concat_ws("|", two, one)))
+    tags = F.filter(F.arrays_zip("f", "s"), lambda t: F.when(F.col("kind") == 0, ~t.f.isin("GT", *WRITTEN)).otherwise(t.f.isin(*KEPT)))
+    x = x.withColumn("t", tags)
+    # a certain phase has no logarithm of its error
+    pq = F.floor(F.least(F.coalesce(-10 * F.log10(1 - F.pow(F.lit(10.0), F.col("post_hap"))), F.lit(100.0)), F.lit(100.0)) + 0.5).cast("string")
+    written = F.when(F.col("kind") == 1, F.concat_ws(":", pq, F.col("n").cast("string"), F.col("first_pos").cast("string"))).otherwise(".")
+    names = F.concat_ws(":", F.lit("GT"), F.transform("t", lambda t: t.f), F.when(F.col("kind") == 1, ":".join(WRITTEN)).otherwise("PS"))
+    values = F.concat_ws(":", F.col("gt"), F.transform("t", lambda t: t.s), written)
+    return head.unionByName(x.select(F.lit(1).alias("part"), "ix", F.concat_ws("\t", F.slice("c", 1, 8), names, values).alias("value")))
+
+
+def call_indels(reads: DataFrame, variants: DataFrame) -> DataFrame:
+    """(read_id, snp, allele 1, qv): heterozygous indels that an alignment shows at their place and with their length.
+
+    An indel stands one base after its anchor, so an equal key of contig, place and length joins the two sides.
+    """
+    start = F.struct(F.col("pos").alias("r"), F.lit(1).alias("q"), F.array().cast("array<struct<at:int,q:int,size:int>>").alias("p"))
+
+    def step(s, x):
+        size = F.when(x.op == "I", x.len).when(x.op == "D", -x.len)
+        return F.struct((s.r + F.when(x.op.isin("M", "D", "N"), x.len).otherwise(0)).cast("int").alias("r"), (s.q + F.when(x.op.isin("M", "I", "S"), x.len).otherwise(0)).cast("int").alias("q"),
+            F.when(size.isNotNull(), F.concat(s.p, F.array(F.struct(s.r.alias("at"), s.q.alias("q"), size.cast("int").alias("size"))))).otherwise(s.p).alias("p"))
+
+    shown = reads.select("read_id", "chrom", "qual", F.explode(F.aggregate("cigar", start, step, lambda s: s.p)).alias("p")).select("read_id", "chrom", F.col("p.at").alias("at"), F.col("p.size").alias("size"), from_char(F.substring(F.col("qual"), F.col("p.q"), F.lit(1))).alias("qv"))
+    known = variants.where("het").select("chrom", (F.col("pos") + 1).alias("at"), (F.length(F.split("alt", ",")[0]) - F.length("ref")).alias("size"), F.col("var_ix").alias("snp")).where("size <> 0")
+    return shown.join(known, ["chrom", "at", "size"]).select("read_id", "snp", F.lit(1).alias("allele"), "qv")
