@@ -20,8 +20,8 @@ from .common import cut, partitions, table
 TREES, LEAF, NEAREST, EVERY = 24, 24, 10, 100
 #: Fitted on at most so many vectors, those with the smallest hashes of their ids.
 SAMPLE = 16_384
-#: A search goes on until its leaves hold so many sample vectors, summed over trees.
-VISIT = 4_000
+#: A search goes on until its leaves hold SHARE of the sample, and VISIT sample vectors at least, summed over trees.
+VISIT, SHARE = 4_000, 1.0
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -101,7 +101,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = NEAREST, every: int = EVERY, trees: int = TREES, visit: int = VISIT, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = NEAREST, every: int = EVERY, trees: int = TREES, visit: int = VISIT, sample: int = SAMPLE, share: float = SHARE) -> DataFrame:
     """(query_id, rank int, vec_id, score): each query's k nearest rows found, by Euclidean distance.
 
     Queries are the rows whose id is divisible by `every`; a query's own row is no candidate, all others are. Ties
@@ -121,6 +121,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     entries = cut(few.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "entries")
     fitted = _matrix(pa.array([r.v for r in entries.orderBy("h").select("v").limit(sample).collect()], pa.list_(pa.float64())))
     forest = spark.sparkContext.broadcast(Forest(fitted, trees))
+    visit = max(visit, round(share * len(fitted)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

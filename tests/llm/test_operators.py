@@ -142,6 +142,20 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_on_a_table_above_the_sample(spark):
+    x = np.random.default_rng(3).normal(size=(20_000, 64))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, every=400).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, len(x), 400):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(got) == 50 and hit / 500 >= 0.9
+
+
 def test_simhash(spark, docs, none):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(ROWS) and {r.component_id for r in got if r.doc_id in (1, 4)} == {1} and {r.component_id for r in got if r.doc_id in (2, 3)} == {2}
