@@ -1,9 +1,10 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, a calibrated temperature.
 
-Every token (a run of letters, digits or signs) has a sparse ternary index vector by its hash. A word vector is the
-sum of the index vectors around all its occurrences in the whole corpus; sums are integers, so they don't depend on
-the order of rows or tasks. A document pools the vectors of its words, and the products of index vectors of near
-words, by which repetition shows. Words share VOCABULARY buckets: the table has a fixed size at any corpus size.
+Every token (a run of letters, digits or signs) has a 64-bit hash, and a sparse ternary index vector drawn from it. A
+word vector is the sum of the index vectors around all its occurrences in the whole corpus; sums are integers, so they
+don't depend on the order of rows or tasks. A document pools the vectors of its words, and the products of index vectors
+of near words, by which repetition shows. Texts are handled in blocks: a block sends the sums of each of its words to the
+word's partition, and gets the sums over all blocks back, so no task and no driver holds the vocabulary.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import span_hashes, table
+from .common import cut, mix64, partitions, span_hashes, table
 
-VOCABULARY, WIDTH, NONZERO, REACH = 1 << 13, 64, 8, 2
-BLOCKS = 32
+WIDTH, NONZERO, REACH = 64, 8, 2
+#: Tokens after which a task begins a new block of texts.
+BLOCK = 2_000_000
 #: At most so many labelled documents are fitted on, those with the smallest hashes of doc_id.
 SAMPLE = 12_000
 THRESHOLD = 0.3
@@ -36,116 +38,175 @@ CLASSES = _classes()
 
 
 def word_ids(data: bytes) -> np.ndarray:
-    """Buckets of the tokens of UTF-8 bytes, in order."""
+    """Hashes of the tokens of UTF-8 bytes, in order."""
     raw = np.frombuffer(data, dtype=np.uint8)
     if not len(raw):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     kind = CLASSES[raw]
     starts = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
     ends = np.concatenate((starts[1:], [len(raw)]))
     keep = kind[starts] > 0
-    return (span_hashes(raw, starts[keep], ends[keep]) >> np.uint64(40)).astype(np.int64) % VOCABULARY
+    return span_hashes(raw, starts[keep], ends[keep])
 
 
-_INDEX: list[np.ndarray] = []
+def index_vectors(words: np.ndarray) -> np.ndarray:
+    """NONZERO entries of +1 or -1 for each hash, one in each stretch of WIDTH / NONZERO; one more row of zeros stands for a gap."""
+    out, step = np.zeros((len(words) + 1, WIDTH), dtype=np.int8), WIDTH // NONZERO
+    bits, rows = mix64(words ^ np.uint64(0x5851F42D4C957F2D)), np.arange(len(words))
+    for j in range(NONZERO):
+        drawn = (bits >> np.uint64(4 * j) & np.uint64(15)).astype(np.int64)
+        out[rows, step * j + drawn % step] = 1 - 2 * (drawn // step)
+    return out
 
 
-def index_vectors() -> np.ndarray:
-    """NONZERO entries of +1 or -1 in each row; one more row of zeros stands for a gap."""
-    if not _INDEX:
-        drawn = np.random.default_rng(20240101)
-        at = np.argsort(drawn.random((VOCABULARY, WIDTH)), axis=1)[:, :NONZERO]
-        out = np.zeros((VOCABULARY + 1, WIDTH), dtype=np.int8)
-        np.put_along_axis(out[:-1], at, drawn.choice(np.array([-1, 1], np.int8), at.shape), axis=1)
-        _INDEX.append(out)
-    return _INDEX[0]
-
-
-def _texts(batch: pa.RecordBatch, column: int, tokens: int = 100_000) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first row, token buckets of each text) in pieces of about so many tokens; a long text is a piece alone."""
-    first, held, n = 0, [], 0
-    for i, x in enumerate(batch.column(column)):
-        held.append(word_ids(x.as_py() or b""))
-        n += len(held[-1])
-        if n >= tokens:
-            yield first, held
-            first, held, n = i + 1, [], 0
-    if held:
-        yield first, held
-
-
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The table of word vectors over all texts, (VOCABULARY, WIDTH): unit context vector plus half the unit index vector."""
+@dataclass
+class Block:
+    """Some texts: their words in order of hash with context sums, and for each text its words, counts and local sums."""
+
+    words: np.ndarray
+    sums: np.ndarray
+    pairs: np.ndarray
+    words_of: np.ndarray
+    counts: np.ndarray
+    local: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[np.ndarray], step: int = 200_000) -> Block:
+        words, at = np.unique(np.concatenate(texts), return_inverse=True)
+        n, gap = len(words), np.full(REACH, len(words))
+        size = np.array([len(x) for x in texts])
+        owner = np.repeat(np.arange(len(texts)), size)
+        key, counts = np.unique(owner * max(n, 1) + at, return_counts=True)
+        ids = np.concatenate([y for x in np.split(at, np.cumsum(size)[:-1]) for y in (x, gap)])
+        owner = np.repeat(np.arange(len(texts)), size + REACH)
+        index, sums, local = index_vectors(words), np.zeros((n + 1, WIDTH), np.int32), np.zeros((len(texts), 2 * WIDTH), np.int32)
+        for s in range(0, len(ids), step):
+            lead, m = min(s, REACH), min(step, len(ids) - s)
+            own = index[ids[s - lead : s + m + REACH]]
+            near, ahead = np.zeros_like(own), np.zeros_like(own)
+            for d in range(1, REACH + 1):
+                near[d:] += own[:-d]
+                near[:-d] += own[d:]
+                ahead[:-d] += own[:-d] * own[d:]
+            part, whose, middle = ids[s : s + m], owner[s : s + m], slice(lead, lead + m)
+            order = np.argsort(part, kind="stable")
+            found, starts = np.unique(part[order], return_index=True)
+            sums[found] += np.add.reduceat(near[middle][order], starts, axis=0, dtype=np.int32)
+            found, starts = np.unique(whose, return_index=True)
+            local[found, :WIDTH] += np.add.reduceat(own[middle], starts, axis=0, dtype=np.int32)
+            local[found, WIDTH:] += np.add.reduceat(ahead[middle], starts, axis=0, dtype=np.int32)
+        return cls(words, sums[:-1], np.bincount(key // max(n, 1), minlength=len(texts)), key % max(n, 1), counts, local)
+
+
+def pooled(vectors: np.ndarray, pairs: np.ndarray, words_of: np.ndarray, counts: np.ndarray, local: np.ndarray, step: int = 50_000) -> np.ndarray:
+    """Features of each text: mean word vector (unit context vector plus half the unit index vector), and mean products
+    of the index vectors one and two words apart. A text's sums don't depend on the texts around it."""
+    out, ends = local.astype(np.float64), np.cumsum(pairs)
+    out[:, :WIDTH] *= 0.5 / np.sqrt(NONZERO)
+    tokens = np.zeros(len(pairs))
+    first = 0
+    while first < len(pairs):
+        begin = ends[first] - pairs[first]
+        last = max(first + 1, int(np.searchsorted(ends, begin + step, side="right")))
+        rows = first + np.flatnonzero(pairs[first:last])
+        if len(rows):
+            starts = ends[rows] - pairs[rows]
+            tokens[rows] = np.add.reduceat(counts[begin : ends[last - 1]], starts - begin)
+            for s in range(begin, ends[last - 1], step):  # more than once for a long text alone
+                part = slice(s, min(s + step, ends[last - 1]))
+                found = np.add.reduceat(vectors[words_of[part]].astype(np.float64) * counts[part, None], np.maximum(starts - s, 0), axis=0)
+                out[rows, :WIDTH] += found
+        first = last
+    return (out / np.maximum(tokens, 1)[:, None]).astype(np.float32)
+
+
+PIECES = "block long, part int, n int, words binary, sums binary, keys binary, pairs binary, words_of binary, counts binary, local binary"
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(k1, k2, x) for each text of docs, by two hashes of it: its features, with word vectors over all of docs."""
+    parts = partitions(docs.sparkSession)
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in PIECES.split(", ")])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, texts, keys, n = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def rows():
+            b = Block.of(texts)
+            part = (b.words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            edges = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
+            out = [dict(block=block, part=i, n=t - s, words=b.words[s:t].tobytes(), sums=_narrow(b.sums[s:t])) for i, (s, t) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if t > s]
+            out.append(dict(block=block, part=-1, n=len(texts), keys=np.array(keys, "<i8").tobytes(), pairs=_narrow(b.pairs), words_of=_narrow(np.diff(b.words_of, prepend=0)), counts=_narrow(b.counts), local=_narrow(b.local)))
+            return pa.RecordBatch.from_pylist(out, schema)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = index_vectors(), np.zeros((VOCABULARY, WIDTH), dtype=np.int64)
-        gap = np.full(REACH, VOCABULARY)
         for b in batches:
-            for _, texts in _texts(b, 0):
-                ids = np.concatenate([y for x in texts for y in (x, gap)])
-                for at in range(0, len(ids), 200_000):
-                    part = ids[max(0, at - REACH) : at + 200_000 + REACH]
-                    lead = min(at, REACH)
-                    own = index[part]
-                    near = np.zeros_like(own)
-                    for d in range(1, REACH + 1):
-                        near[d:] += own[:-d]
-                        near[:-d] += own[d:]
-                    middle = slice(lead, lead + min(200_000, len(ids) - at))
-                    part, near = part[middle], near[middle]
-                    order = np.argsort(part, kind="stable")
-                    found, starts = np.unique(part[order], return_index=True)
-                    added = np.add.reduceat(near[order], starts, axis=0, dtype=np.int64)
-                    real = found < VOCABULARY
-                    total[found[real]] += added[real]
-        if total.any():
-            rows = VOCABULARY // BLOCKS
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(BLOCKS), pa.int32()), pa.array([_narrow(total[i * rows : (i + 1) * rows]) for i in range(BLOCKS)], pa.binary())], ["block", "sums"])
+            for k1, k2, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                texts.append(word_ids(x.as_py()))
+                keys.append((k1, k2))
+                n += len(texts[-1]) + REACH
+                if n >= BLOCK:
+                    yield rows()
+                    block, texts, keys, n = block + 1, [], [], 0
+        if texts:
+            yield rows()
 
     def add(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((VOCABULARY // BLOCKS) * WIDTH, dtype=np.int64)
-        for t in tables:
-            for x in t.column("sums"):
-                total += _wide(x.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["block", "sums"])
-
-    text = docs.select(F.col("text").cast("string").cast("binary").alias("text"))
-    # the result has BLOCKS rows of a fixed size
-    parts = text.mapInArrow(sums, "block int, sums binary").groupBy("block").applyInArrow(add, "block int, sums binary").collect()
-    table_ = np.zeros((VOCABULARY, WIDTH))
-    rows = VOCABULARY // BLOCKS
-    for r in parts:
-        table_[r.block * rows : (r.block + 1) * rows] = np.frombuffer(bytes(r.sums), "<i8").reshape(rows, WIDTH)
-    size = np.linalg.norm(table_, axis=1, keepdims=True)
-    return (table_ / np.maximum(size, 1) + 0.5 * index_vectors()[:-1] / np.sqrt(NONZERO)).astype(np.float32)
+        asked = [r for t in tables for r in t.select(["block", "n", "words", "sums"]).to_pylist()]
+        words, at = np.unique(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in asked]), return_inverse=True)
+        total, s = np.zeros((len(words), WIDTH), np.int64), 0
+        for r in asked:
+            total[at[s : s + r["n"]]] += _wide(r["sums"]).reshape(-1, WIDTH)
+            s += r["n"]
+        s = 0
+        for r in asked:
+            yield pa.RecordBatch.from_pylist([dict(block=r["block"], part=key[0].as_py(), n=r["n"], sums=_narrow(total[at[s : s + r["n"]]]))], schema)
+            s += r["n"]
+
+    def pool(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for t in tables for r in t.to_pylist()), key=lambda r: r["part"])
+        texts, vectors, s = got[0], np.zeros((sum(r["n"] for r in got[1:]), WIDTH), np.float32), 0
+        for r in got[1:]:
+            part = _wide(r["sums"]).reshape(-1, WIDTH).astype(np.float64)
+            vectors[s : s + r["n"]] = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1)
+            s += r["n"]
+        x = pooled(vectors, _wide(texts["pairs"]), np.cumsum(_wide(texts["words_of"])), _wide(texts["counts"]), _wide(texts["local"]).reshape(-1, 2 * WIDTH))
+        keys = np.frombuffer(texts["keys"], "<i8").reshape(-1, 2)
+        for s in range(0, len(x), 1_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[s : s + 1_000, 0]), pa.array(keys[s : s + 1_000, 1]), pa.array([y.tobytes() for y in x[s : s + 1_000]], pa.binary())], ["k1", "k2", "x"])
+
+    pieces = cut(docs.select(*_keys(), _text().cast("binary").alias("text")).mapInArrow(split, PIECES), "pieces")
+    totals = pieces.where(F.col("part") >= 0).groupBy("part").applyInArrow(add, PIECES)
+    return cut(totals.unionByName(pieces.where(F.col("part") < 0)).groupBy("block").applyInArrow(pool, "k1 long, k2 long, x binary"), "features")
+
+
+def _text():
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _keys():
+    return [F.xxhash64(_text()).alias("k1"), F.xxhash64(F.lit("text"), _text()).alias("k2")]
 
 
 def _narrow(x: np.ndarray) -> bytes:
+    """Integers with the sign in the lowest bit, in as few bytes as the largest needs, compressed byte by byte."""
     import zstandard
 
-    kind = "<i2" if np.abs(x).max(initial=0) < 1 << 15 else "<i4" if np.abs(x).max(initial=0) < 1 << 31 else "<i8"
-    return kind[1:].encode() + zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
+    x = x.ravel().astype(np.int64)
+    x = (x << 1 ^ x >> 63).astype("<u8")
+    size = next(k for k in (1, 2, 4, 8) if k == 8 or int(x.max(initial=0)) < 1 << 8 * k)
+    planes = x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T
+    return bytes([size]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def _wide(data: bytes) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), "<" + data[:2].decode()).astype(np.int64)
-
-
-def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Features of one document: mean word vector, and mean products of the index vectors one and two words apart."""
-    if not len(ids):
-        return np.zeros(2 * WIDTH, dtype=np.float32)
-    index, out = index_vectors(), np.zeros(2 * WIDTH)
-    for at in range(0, len(ids), 50_000):
-        part = ids[at : at + 50_000 + 2]
-        out[:WIDTH] += vectors[part[:50_000]].sum(axis=0)
-        own = index[part]
-        for d in (1, 2):
-            out[WIDTH:] += (own[d : 50_000 + d] * own[:-d][:50_000]).sum(axis=0, dtype=np.int64)
-    return (out / len(ids)).astype(np.float32)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    x = np.ascontiguousarray(planes.T).view(f"<u{data[0]}").ravel().astype(np.uint64)
+    return (x >> np.uint64(1)).astype(np.int64) ^ -(x & np.uint64(1)).astype(np.int64)
 
 
 @dataclass
@@ -207,27 +268,18 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Model]:
-    """Word vectors over all of docs, and a model fitted on at most `sample` labelled rows that aren't held out.
+def learn(docs: DataFrame, labels: DataFrame, found: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model fitted on the features `found` of at most `sample` labelled rows that aren't held out.
 
     Labels without id or quality are ignored; several labels of a document give its mean, from 0.5 on good. Without
     two classes of labels every score is the share of good labels (0.5 without any).
     """
-    vectors = word_vectors(docs)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # the documented bound
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vectors)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = [pooled(word_ids(t.as_py() or b""), shared.value).tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], ["id", "y", "x"])
-
-    found = docs.join(F.broadcast(known), F.col("doc_id").cast("long") == F.col("_id")).select("_id", "_y", F.col("text").cast("string").cast("binary").alias("text"))
-    rows = found.mapInArrow(features, "id long, y int, x binary").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    taken = docs.join(F.broadcast(known), F.col("doc_id").cast("long") == F.col("_id")).select("_id", "_y", *_keys()).dropDuplicates(["_id"])
+    rows = found.join(F.broadcast(taken), ["k1", "k2"]).select("_id", "_y", "x").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample).collect()
     x = np.array([np.frombuffer(bytes(r.x), np.float32) for r in rows]).reshape(len(rows), 2 * WIDTH)
-    return vectors, fit(x, np.array([r.y for r in rows], dtype=np.float64))
+    return fit(x, np.array([r._y for r in rows], dtype=np.float64))
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -236,23 +288,18 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     Null text counts as empty; repeated rows stay; other columns pass through unchanged (an own column score is
     replaced); an empty table gives an empty result.
     """
-    vectors, model = learn(docs, labels, sample)
-    shared = docs.sparkSession.sparkContext.broadcast((vectors, model))
-    kept = docs.drop("score")
-    names = kept.columns
+    found = features(docs)
+    model = learn(docs, labels, found, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, model = shared.value
-        at = names.index("text")
         for b in batches:
-            x = np.zeros((b.num_rows, 2 * WIDTH), dtype=np.float32)
-            for i, t in enumerate(b.column(at)):
-                x[i] = pooled(word_ids((t.as_py() or "").encode()), vectors)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(model.score(x), 9))], [*names, "score"])
-
-    from pyspark.sql import types as T
+            x = np.array([np.frombuffer(y.as_py(), np.float32) for y in b.column(2)]).reshape(-1, 2 * WIDTH)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(model.score(x), 9))], ["_j1", "_j2", "score"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())]))
+    scores = found.mapInArrow(run, "_j1 long, _j2 long, score double").dropDuplicates(["_j1", "_j2"])
+    kept = docs.drop("score")
+    k1, k2 = _keys()
+    return kept.select("*", k1.alias("_k1"), k2.alias("_k2")).join(scores, (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2"))).select(*kept.columns, "score")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

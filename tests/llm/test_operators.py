@@ -211,3 +211,39 @@ def test_quality(spark, docs, none):
     odd = quality.score(docs, labels.limit(0)).collect()
     assert len(odd) == len(ROWS) and {r.score for r in odd} == {0.5}
     assert quality.score(none, labels).count() == 0
+
+
+def test_words_of_one_bucket_score_apart(spark):
+    seen, pair = {}, None
+    for i in range(2_000):
+        word = "w" + "".join(chr(97 + int(c)) for c in str(i))
+        bucket = int(quality.word_ids(word.encode())[0] >> np.uint64(40)) % 8192  # as many buckets as words once shared
+        if bucket in seen:
+            pair = word, seen[bucket]
+            break
+        seen[bucket] = word
+    many = spark.createDataFrame([(i, f"{pair[i % 2]} " * (3 + i % 7)) for i in range(200)], "doc_id long, text string")
+    got = quality.score(many, many.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))).collect()
+    assert len(got) == 200 and all((r.score >= 0.5) == bool(r.doc_id % 2) for r in got)
+
+
+def test_features_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{chr(97 + int(i) % 26)}{chr(97 + int(i) // 26)}" for i in rng.zipf(1.4, int(n)) % 300) for n in rng.integers(0, 120, 60)] + ["", "one", None, "one"]
+    monkeypatch.setattr(quality, "BLOCK", 700)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words = [quality.word_ids((t or "").encode()).tolist() for t in texts]
+    index = {w: quality.index_vectors(np.array([w], np.uint64))[0].astype(float) for t in words for w in t}
+    context = {w: np.zeros(quality.WIDTH) for w in index}
+    for t in words:
+        for i, w in enumerate(t):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(t):
+                    context[w] += index[t[j]]
+    keys = docs.select("doc_id", *quality._keys())
+    got = {r.doc_id: np.frombuffer(bytes(r.x), np.float32) for r in keys.join(quality.features(docs), ["k1", "k2"]).collect()}
+    assert len(got) == len(texts) and quality.features(docs).count() == len(texts)
+    for i, t in enumerate(words):
+        mean = sum((context[w] / max(np.linalg.norm(context[w]), 1) + 0.5 * index[w] / 8**0.5 for w in t), np.zeros(quality.WIDTH)) / max(len(t), 1)
+        near = sum((index[t[j]] * index[t[j + d]] for d in (1, 2) for j in range(len(t) - d)), np.zeros(quality.WIDTH)) / max(len(t), 1)
+        assert np.allclose(got[i], np.concatenate((mean, near)), atol=1e-5)
