@@ -30,24 +30,34 @@ class Component:
         self.edges = self._edges()
 
     def _edges(self):
-        """Log-odds that two variants of a fragment carry equal alleles, summed; neighbours within 8 calls only."""
+        """Log-odds that two variants of a fragment carry equal alleles, summed over fragments; all pairs of its calls."""
         order = np.lexsort((self.v, self.f))
         f, v, a = self.f[order], self.v[order], self.a[order]
         e = 10.0 ** self.er[order]
-        parts = []
-        for d in range(1, 9):
-            same = np.flatnonzero(f[d:] == f[:-d])
-            if not len(same):
+        parts, held, d, first = [], 0, 0, np.arange(len(f))
+        while True:
+            d += 1
+            first = first[first + d < len(f)]
+            first = first[f[first] == f[first + d]]
+            if not len(first):
                 break
-            i, j = same, same + d
+            i, j = first, first + d
             alike = (1 - e[i]) * (1 - e[j]) + e[i] * e[j]
             w = np.log10(alike / np.maximum(1 - alike, 1e-12)) * np.where(a[i] == a[j], 1, -1)
-            parts.append((v[i], v[j], w))
+            parts.append((v[i] * self.n + v[j], w))
+            held += len(i)
+            if held > 5_000_000:
+                parts = [self._added(parts)]
+                held = len(parts[0][0])
         if not parts:
             return [], [], []
-        i, j, w = (np.concatenate(x) for x in zip(*parts))
-        key, at = np.unique(i * self.n + j, return_inverse=True)
-        return key // self.n, key % self.n, np.bincount(at, weights=w)
+        key, w = self._added(parts)
+        return key // self.n, key % self.n, w
+
+    @staticmethod
+    def _added(parts):
+        key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return key, np.bincount(at, weights=np.concatenate([w for _, w in parts]))
 
     def terms(self, hap, rows=slice(None)):
         match = self.a[rows] == hap[self.v[rows]]
@@ -97,16 +107,20 @@ class Component:
                 gained = True
         return gained
 
-    def cut(self, hap, seed):
-        """One greedy cut from a seed edge; the second shore as a mask."""
-        import heapq
-
+    def pulls(self, hap):
+        """Neighbours of each variant with the weight by which hap agrees with their edge."""
         i, j, w = self.edges
         near: list[list[tuple[int, float]]] = [[] for _ in range(self.n)]
         agree = np.where(hap[i] == hap[j], w, -w)
-        for a, b, x in zip(i, j, agree):
+        for a, b, x in zip(i.tolist(), j.tolist(), agree.tolist()):
             near[a].append((b, x))
             near[b].append((a, x))
+        return near, agree
+
+    def cut(self, near, start, other=None):
+        """One greedy cut from a variant, or from two on opposite shores; the second shore as a mask."""
+        import heapq
+
         shore, pull = np.zeros(self.n, dtype=np.int8), np.zeros(self.n)
         heap: list[tuple[float, int]] = []
 
@@ -117,34 +131,47 @@ class Component:
                     pull[b] += s * x
                     heapq.heappush(heap, (-abs(pull[b]), b))
 
-        place(i[seed], 1)
-        place(j[seed], -1)
+        place(start, 1)
+        if other is not None:
+            place(other, -1)
         while heap:
             p, v = heapq.heappop(heap)
             if not shore[v] and -p == abs(pull[v]):
                 place(v, 1 if pull[v] >= 0 else -1)
         return shore == -1
 
-    def solve(self, patience: int = 5, passes: int = 50):
+    def solve(self, patience: int = 5, passes: int = 10_000):
+        """Flips and at most one cut in each pass, until more than `patience` passes in turn bring no gain.
+
+        A pass starts cuts from the edges that the haplotype contradicts most, one more than `patience`, then from
+        max(1, n / 10) random edges or variants, and takes the first cut that brings a gain.
+        """
         hap = self.spanning_start()
         if not len(self.edges[0]):
             return hap, self.score(hap)
-        best, failed = self.score(hap), 0
-        for k in range(passes):
-            self.flips(hap)
-            agree = np.where(hap[self.edges[0]] == hap[self.edges[1]], self.edges[2], -self.edges[2])
-            seeds = np.argsort(agree)[: patience + 1]
-            better = False
-            for seed in seeds:
+        i, j, _ = self.edges
+        drawn = np.random.default_rng(self.n)
+        best, failed, near = self.score(hap), 0, None
+        for _ in range(passes):
+            if self.flips(hap):
+                near = None
+            now = max(best, self.score(hap))
+            starts = []
+            if near is None:  # else the haplotype is that of the last pass, where these starts failed
+                near, agree = self.pulls(hap)
+                starts = [(i[k], j[k]) for k in np.argsort(agree, kind="stable")[: patience + 1]]
+            for k in drawn.integers(0, len(i), max(1, self.n // 10)):
+                starts.append((i[k], j[k]) if agree[k] < 1 else (drawn.integers(0, self.n), None))
+            for start in starts:
                 trial = hap.copy()
-                trial[self.cut(hap, seed)] ^= 1
-                if self.score(trial) > best + 1e-9:
-                    hap, better = trial, True
+                trial[self.cut(near, *start)] ^= 1
+                value = self.score(trial)
+                if value > now + 1e-9:
+                    hap, now, near = trial, value, None
                     break
-            now = self.score(hap)
-            failed = 0 if better or now > best + 1e-9 else failed + 1
-            best = max(best, now)
-            if failed:
+            failed = 0 if now > best + 1e-9 else failed + 1
+            best = now
+            if failed > patience:
                 break
         return hap ^ hap[0], best
 

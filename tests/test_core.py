@@ -108,3 +108,24 @@ def test_entry_without_corpus_operators():
     import __spark_entry__ as e
 
     assert "components" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def noisy(seed, n=11, frags=14, k=4, err=0.3):
+    rng = np.random.default_rng(seed)
+    truth, rows = rng.integers(0, 2, n), []
+    for f in range(frags):
+        at = np.sort(rng.choice(n, k, replace=False))
+        rows += [(f, int(s), int(truth[s] ^ (f & 1) ^ (rng.random() < err)), 10) for s in at]
+    return Component(*map(np.array, zip(*rows)))
+
+
+def test_search_goes_on_after_a_pass_without_gain():
+    for seed in (17, 23, 34, 104, 139):
+        c = noisy(seed)
+        best = max(c.score(np.array((0, *h), dtype=np.int8)) for h in itertools.product((0, 1), repeat=c.n - 1))
+        assert c.solve()[1] >= best - 1e-6
+
+
+def test_edges_are_all_pairs_of_a_fragment():
+    c = Component(np.repeat([0, 1], 20), np.tile(np.arange(20), 2), np.zeros(40, int), np.full(40, 20))
+    assert len(c.edges[0]) == 190 and np.allclose(c.edges[2], c.edges[2][0])
