@@ -1,6 +1,7 @@
 """Operators over odd small tables, against plain models."""
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -247,3 +248,41 @@ def test_features_equal_brute_force(spark, monkeypatch):
         mean = sum((context[w] / max(np.linalg.norm(context[w]), 1) + 0.5 * index[w] / 8**0.5 for w in t), np.zeros(quality.WIDTH)) / max(len(t), 1)
         near = sum((index[t[j]] * index[t[j + d]] for d in (1, 2) for j in range(len(t) - d)), np.zeros(quality.WIDTH)) / max(len(t), 1)
         assert np.allclose(got[i], np.concatenate((mean, near)), atol=1e-5)
+
+
+def shingles(text, k=5):
+    w = (text or "").split()
+    return {tuple(w[i : i + min(k, len(w))]) for i in range(len(w) - min(k, len(w)) + 1)} if w else set()
+
+
+def smallest_of_copies(rows, similarity=0.8):
+    """Ids that stay when every pair of texts is compared."""
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if (rows[i][1] or "") == (rows[j][1] or "") or both and both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+            root[top(i)] = top(j)
+    return sorted({top(i): min(r[0] for k, r in enumerate(rows) if top(k) == top(i)) for i in range(len(rows))}.values())
+
+
+def test_near_copies_equal_brute_force_around_the_limit(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5_000, 150)]
+        rows.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 5):
+            copy = list(base)
+            for at in rng.choice(150, edits, replace=False):
+                copy[at] = f"x{at}"
+            rows.append(" ".join(copy))
+    rows = [(i, t) for i, t in zip(rng.permutation(len(rows)).tolist(), rows)]
+    sets = [shingles(t) for _, t in rows]
+    alike = [len(a & b) / len(a | b) for a, b in itertools.combinations(sets, 2)]
+    assert sum(0.75 <= x < 0.8 for x in alike) > 5 and sum(0.8 <= x < 0.85 for x in alike) > 5
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == smallest_of_copies(rows)
