@@ -37,7 +37,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", filter_quality), ("line dedup", drop_boilerplate), ("SimHash near-dedup", drop_copies), ("packing", pack)]
 
-#: Classifier, near-duplicates and token ids are beyond SQL; tests hold the stages against brute force.
+#: Classifier, near-duplicates and token ids are beyond SQL; a test on the smallest tables holds line and near-copy
+#: removal against brute force, the classifier against its labels, and the packed ids against those kept.
 ORACLE_SQL = None
 
 

@@ -286,3 +286,27 @@ def test_near_copies_equal_brute_force_around_the_limit(spark):
     assert sum(0.75 <= x < 0.8 for x in alike) > 5 and sum(0.8 <= x < 0.85 for x in alike) > 5
     got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == smallest_of_copies(rows)
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    import corpus_pipeline as pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {}
+    for name, stage in pipeline.STAGES:
+        got[name] = docs = pipeline.cut(stage(spark, docs, sf_dir), "stage")
+    clean, lines, alone = ({r.doc_id: r for r in got[n].collect()} for n in [n for n, _ in pipeline.STAGES][:3])
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    known = [(i in clean, q) for i, q in labels.items() if q is not None]
+    assert sum(a == bool(q) for a, q in known) >= 0.9 * len(known)
+    total, on = {}, {}
+    for r in clean.values():
+        total[r.source] = total.get(r.source, 0) + 1
+        for x in set((r.text or "").split("\n")) - {""}:
+            on[r.source, x] = on.get((r.source, x), 0) + 1
+    bad = {k for k, n in on.items() if n >= line_dedup.LEAST_PAGES and n > total[k[0]] * line_dedup.RATIO}
+    want = {i: None if r.text is None else "\n".join(x for x in r.text.split("\n") if (r.source, x) not in bad) for i, r in clean.items()}
+    assert {i: r.text for i, r in lines.items()} == want
+    assert sorted(alone) == smallest_of_copies([(i, r.text) for i, r in lines.items()])
+    assert {r.doc_id for r in got["packing"].select("doc_id").distinct().collect()} == set(alone)
