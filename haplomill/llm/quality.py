@@ -1,10 +1,18 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, a calibrated temperature.
 
-Every token (a run of letters, digits or signs) has a 64-bit hash, and a sparse ternary index vector drawn from it. A
-word vector is the sum of the index vectors around all its occurrences in the whole corpus; sums are integers, so they
-don't depend on the order of rows or tasks. A document pools the vectors of its words, and the products of index vectors
-of near words, by which repetition shows. Texts are handled in blocks: a block sends the sums of each of its words to the
-word's partition, and gets the sums over all blocks back, so no task and no driver holds the vocabulary.
+Word vectors are learned for the ids of a byte-level tokenizer, which has whole frequent words and cuts the rest into
+word parts; a rarer word's vector is that of its parts. So every text is made of words of one fixed list: each has a
+vector of its own at any size of the corpus, none is left out, and the table of vectors has a size that the vocabulary
+file states (50,257 rows of 128 bytes here).
+
+Every id has a sparse ternary index vector drawn from a hash. A word vector is the sum of the index vectors around all
+its occurrences in the whole corpus; sums are integers, so they don't depend on the order of rows or tasks. A document
+pools the vectors of its ids, and the products of index vectors of whole words near each other (runs of letters, digits
+or signs, by 64-bit hash), by which repetition shows. Word vectors are rounded to whole steps, so pooled sums are exact
+too and equal texts score alike.
+
+Texts are encoded once and kept with the columns they came with (cut); one pass adds up the contexts, one pools and
+scores. Nothing else is shuffled than context sums, in two levels.
 """
 
 from __future__ import annotations
@@ -16,14 +24,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, mix64, partitions, span_hashes, table
+from .common import cut, mix64, span_hashes, table
+from .tokens import encoder, vocabulary
 
 WIDTH, NONZERO, REACH = 64, 8, 2
-#: Tokens after which a task begins a new block of texts.
-BLOCK = 2_000_000
+#: Steps of a unit vector's components.
+STEPS = 4096
+#: Words in a row of context sums, and the tasks whose sums meet in a first-level group.
+ROW, TASKS = 2048, 1000
 #: At most so many labelled documents are fitted on, those with the smallest hashes of doc_id.
 SAMPLE = 12_000
 THRESHOLD = 0.3
+#: Words worked on at a time.
+CHUNK = 100_000
 
 
 def _classes() -> np.ndarray:
@@ -38,7 +51,7 @@ CLASSES = _classes()
 
 
 def word_ids(data: bytes) -> np.ndarray:
-    """Hashes of the tokens of UTF-8 bytes, in order."""
+    """Hashes of the whole words of UTF-8 bytes, in order."""
     raw = np.frombuffer(data, dtype=np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64)
@@ -49,9 +62,9 @@ def word_ids(data: bytes) -> np.ndarray:
     return span_hashes(raw, starts[keep], ends[keep])
 
 
-def index_vectors(words: np.ndarray) -> np.ndarray:
-    """NONZERO entries of +1 or -1 for each hash, one in each stretch of WIDTH / NONZERO; one more row of zeros stands for a gap."""
-    out, step = np.zeros((len(words) + 1, WIDTH), dtype=np.int8), WIDTH // NONZERO
+def drawn_vectors(words: np.ndarray) -> np.ndarray:
+    """NONZERO entries of +1 or -1 for each hash, one in each stretch of WIDTH / NONZERO."""
+    out, step = np.zeros((len(words), WIDTH), dtype=np.int8), WIDTH // NONZERO
     bits, rows = mix64(words ^ np.uint64(0x5851F42D4C957F2D)), np.arange(len(words))
     for j in range(NONZERO):
         drawn = (bits >> np.uint64(4 * j) & np.uint64(15)).astype(np.int64)
@@ -59,135 +72,129 @@ def index_vectors(words: np.ndarray) -> np.ndarray:
     return out
 
 
-@dataclass
-class Block:
-    """Some texts: their words in order of hash with context sums, and for each text its words, counts and local sums."""
-
-    words: np.ndarray
-    sums: np.ndarray
-    pairs: np.ndarray
-    words_of: np.ndarray
-    counts: np.ndarray
-    local: np.ndarray
-
-    @classmethod
-    def of(cls, texts: list[np.ndarray], step: int = 200_000) -> Block:
-        words, at = np.unique(np.concatenate(texts), return_inverse=True)
-        n, gap = len(words), np.full(REACH, len(words))
-        size = np.array([len(x) for x in texts])
-        owner = np.repeat(np.arange(len(texts)), size)
-        key, counts = np.unique(owner * max(n, 1) + at, return_counts=True)
-        ids = np.concatenate([y for x in np.split(at, np.cumsum(size)[:-1]) for y in (x, gap)])
-        owner = np.repeat(np.arange(len(texts)), size + REACH)
-        index, sums, local = index_vectors(words), np.zeros((n + 1, WIDTH), np.int32), np.zeros((len(texts), 2 * WIDTH), np.int32)
-        for s in range(0, len(ids), step):
-            lead, m = min(s, REACH), min(step, len(ids) - s)
-            own = index[ids[s - lead : s + m + REACH]]
-            near, ahead = np.zeros_like(own), np.zeros_like(own)
-            for d in range(1, REACH + 1):
-                near[d:] += own[:-d]
-                near[:-d] += own[d:]
-                ahead[:-d] += own[:-d] * own[d:]
-            part, whose, middle = ids[s : s + m], owner[s : s + m], slice(lead, lead + m)
-            order = np.argsort(part, kind="stable")
-            found, starts = np.unique(part[order], return_index=True)
-            sums[found] += np.add.reduceat(near[middle][order], starts, axis=0, dtype=np.int32)
-            found, starts = np.unique(whose, return_index=True)
-            local[found, :WIDTH] += np.add.reduceat(own[middle], starts, axis=0, dtype=np.int32)
-            local[found, WIDTH:] += np.add.reduceat(ahead[middle], starts, axis=0, dtype=np.int32)
-        return cls(words, sums[:-1], np.bincount(key // max(n, 1), minlength=len(texts)), key % max(n, 1), counts, local)
-
-
-def pooled(vectors: np.ndarray, pairs: np.ndarray, words_of: np.ndarray, counts: np.ndarray, local: np.ndarray, step: int = 50_000) -> np.ndarray:
-    """Features of each text: mean word vector (unit context vector plus half the unit index vector), and mean products
-    of the index vectors one and two words apart. A text's sums don't depend on the texts around it."""
-    out, ends = local.astype(np.float64), np.cumsum(pairs)
-    out[:, :WIDTH] *= 0.5 / np.sqrt(NONZERO)
-    tokens = np.zeros(len(pairs))
+def index_vectors(n: int) -> np.ndarray:
+    """The index vector of each id below n; one more row of zeros stands for a gap."""
+    return np.concatenate((drawn_vectors(mix64(np.arange(1, n + 1, dtype=np.uint64))), np.zeros((1, WIDTH), np.int8)))
+
+
+def repeats(data: bytes) -> np.ndarray:
+    """Sums over a text of the products of the index vectors of words one and two apart, and the number of words."""
+    words, out = word_ids(data), np.zeros(WIDTH + 1, dtype=np.int64)
+    out[-1] = len(words)
+    for at in range(0, len(words), CHUNK):
+        own = drawn_vectors(words[at : at + CHUNK + REACH])
+        for d in range(1, REACH + 1):
+            both = own[: len(own) - d] * own[d:]
+            out[:-1] += both[:CHUNK].sum(axis=0, dtype=np.int64)
+    return out
+
+
+def _size(path: str) -> int:
+    return encoder(path).tokenizer.get_vocab_size()
+
+
+def tokenised(docs: DataFrame, keep: tuple[str, ...], path: str) -> DataFrame:
+    """(row struct of the columns keep, id, ids, repeats) of each row of docs; ids as little-endian integers, none for a null text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts = part.column(2).to_pylist()
+                again = [repeats((t or "").encode()).astype("<i8").tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(enc.encode(texts), pa.binary()), pa.array(again, pa.binary())], ["row", "id", "ids", "repeats"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    schema = rows.select("row", "id", F.lit(b"").alias("ids"), F.lit(b"").alias("repeats")).schema
+    return cut(rows.mapInArrow(run, schema), "ids")
+
+
+def _pieces(column: pa.Array, dtype: np.dtype, gap: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, ids, starts) of some texts together, each text followed by REACH gaps; a text of more than CHUNK ids is alone."""
+    sizes = np.array([len(x.as_buffer()) // dtype.itemsize if x.is_valid else 0 for x in column], dtype=np.int64)
     first = 0
-    while first < len(pairs):
-        begin = ends[first] - pairs[first]
-        last = max(first + 1, int(np.searchsorted(ends, begin + step, side="right")))
-        rows = first + np.flatnonzero(pairs[first:last])
-        if len(rows):
-            starts = ends[rows] - pairs[rows]
-            tokens[rows] = np.add.reduceat(counts[begin : ends[last - 1]], starts - begin)
-            for s in range(begin, ends[last - 1], step):  # more than once for a long text alone
-                part = slice(s, min(s + step, ends[last - 1]))
-                found = np.add.reduceat(vectors[words_of[part]].astype(np.float64) * counts[part, None], np.maximum(starts - s, 0), axis=0)
-                out[rows, :WIDTH] += found
+    while first < len(sizes):
+        last, n = first, 0
+        while last < len(sizes) and (last == first or n + sizes[last] <= CHUNK):
+            n += int(sizes[last]) + REACH
+            last += 1
+        ids = np.full(n, gap, dtype=np.int32)
+        starts = np.cumsum(sizes[first:last] + REACH) - sizes[first:last] - REACH
+        for at, size, i in zip(starts.tolist(), sizes[first:last].tolist(), range(first, last)):
+            if size:
+                ids[at : at + size] = np.frombuffer(column[i].as_buffer(), dtype)
+        yield first, last - first, ids, starts
         first = last
-    return (out / np.maximum(tokens, 1)[:, None]).astype(np.float32)
 
 
-PIECES = "block long, part int, n int, words binary, sums binary, keys binary, pairs binary, words_of binary, counts binary, local binary"
+def _near(own: np.ndarray) -> np.ndarray:
+    near = np.zeros_like(own)
+    for d in range(1, REACH + 1):
+        near[d:] += own[:-d]
+        near[:-d] += own[d:]
+    return near
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(k1, k2, x) for each text of docs, by two hashes of it: its features, with word vectors over all of docs."""
-    parts = partitions(docs.sparkSession)
-    names = [c.split()[0] for c in PIECES.split(", ")]
-    schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]]) for c in PIECES.split(", ")])
+def word_vectors(texts: DataFrame, path: str) -> np.ndarray:
+    """Vectors of all words over all texts (column ids), one row a word: unit context vector plus half the unit index vector, in steps."""
+    n, dtype = _size(path), encoder(path).dtype
+    rows = -(-n // ROW)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, texts, keys, n = TaskContext.get().partitionId() << 32, [], [], 0
-
-        def rows():
-            b = Block.of(texts)
-            part = (b.words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-            edges = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
-            out = [dict(block=block, part=i, n=t - s, words=b.words[s:t].tobytes(), sums=_narrow(b.sums[s:t])) for i, (s, t) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if t > s]
-            out.append(dict(block=block, part=-1, n=len(texts), keys=np.array(keys, "<i8").tobytes(), pairs=_narrow(b.pairs), words_of=_narrow(np.diff(b.words_of, prepend=0)), counts=_narrow(b.counts), local=_narrow(b.local)))
-            return pa.RecordBatch.from_pylist(out, schema)
-
+        index, total = index_vectors(n), np.zeros((rows * ROW, WIDTH), dtype=np.int64)
         for b in batches:
-            for k1, k2, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                texts.append(word_ids(x.as_py()))
-                keys.append((k1, k2))
-                n += len(texts[-1]) + REACH
-                if n >= BLOCK:
-                    yield rows()
-                    block, texts, keys, n = block + 1, [], [], 0
-        if texts:
-            yield rows()
+            for _, _, ids, _ in _pieces(b.column(0), dtype, n):
+                for at in range(0, len(ids), CHUNK):
+                    lead, m = min(at, REACH), min(CHUNK, len(ids) - at)
+                    near = _near(index[ids[at - lead : at + m + REACH]])[lead : lead + m]
+                    part = ids[at : at + m]
+                    order = np.argsort(part.astype(np.uint16) if n < 1 << 16 else part, kind="stable")
+                    part = part[order]
+                    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                    found, added = part[starts], np.add.reduceat(near[order], starts, axis=0, dtype=np.int32)
+                    real = found < n
+                    total[found[real]] += added[real]
+        some = [i for i in range(rows) if total[i * ROW : (i + 1) * ROW].any()]
+        group = TaskContext.get().partitionId() // TASKS
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([group] * len(some), pa.int32()), pa.array([_narrow(total[i * ROW : (i + 1) * ROW]) for i in some], pa.binary())], ["block", "tasks", "sums"])
 
     def add(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = [r for t in tables for r in t.select(["block", "n", "words", "sums"]).to_pylist()]
-        words, at = np.unique(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in asked]), return_inverse=True)
-        total, s = np.zeros((len(words), WIDTH), np.int64), 0
-        for r in asked:
-            total[at[s : s + r["n"]]] += _wide(r["sums"]).reshape(-1, WIDTH)
-            s += r["n"]
-        s = 0
-        for r in asked:
-            yield pa.RecordBatch.from_pylist([dict(block=r["block"], part=key[0].as_py(), n=r["n"], sums=_narrow(total[at[s : s + r["n"]]]))], schema)
-            s += r["n"]
-
-    def pool(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((r for t in tables for r in t.to_pylist()), key=lambda r: r["part"])
-        texts, vectors, s = got[0], np.zeros((sum(r["n"] for r in got[1:]), WIDTH), np.float32), 0
-        for r in got[1:]:
-            part = _wide(r["sums"]).reshape(-1, WIDTH).astype(np.float64)
-            vectors[s : s + r["n"]] = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1)
-            s += r["n"]
-        x = pooled(vectors, _wide(texts["pairs"]), np.cumsum(_wide(texts["words_of"])), _wide(texts["counts"]), _wide(texts["local"]).reshape(-1, 2 * WIDTH))
-        keys = np.frombuffer(texts["keys"], "<i8").reshape(-1, 2)
-        for s in range(0, len(x), 1_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[s : s + 1_000, 0]), pa.array(keys[s : s + 1_000, 1]), pa.array([y.tobytes() for y in x[s : s + 1_000]], pa.binary())], ["k1", "k2", "x"])
-
-    pieces = cut(docs.select(*_keys(), _text().cast("binary").alias("text")).mapInArrow(split, PIECES), "pieces")
-    totals = pieces.where(F.col("part") >= 0).groupBy("part").applyInArrow(add, PIECES)
-    return cut(totals.unionByName(pieces.where(F.col("part") < 0)).groupBy("block").applyInArrow(pool, "k1 long, k2 long, x binary"), "features")
-
-
-def _text():
-    return F.coalesce(F.col("text").cast("string"), F.lit(""))
-
-
-def _keys():
-    return [F.xxhash64(_text()).alias("k1"), F.xxhash64(F.lit("text"), _text()).alias("k2")]
+        total = np.zeros(ROW * WIDTH, dtype=np.int64)
+        for t in tables:
+            for x in t.column("sums"):
+                total += _wide(x.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([_narrow(total)], pa.binary())], ["block", "tasks", "sums"])
+
+    schema = "block int, tasks int, sums binary"
+    found = texts.select("ids").mapInArrow(sums, schema).groupBy("block", "tasks").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
+    total = np.zeros((rows * ROW, WIDTH), dtype=np.int64)
+    for r in found.collect():  # as many rows as the vocabulary has stretches
+        total[r.block * ROW : (r.block + 1) * ROW] = _wide(bytes(r.sums)).reshape(ROW, WIDTH)
+    return in_steps(total[:n], index_vectors(n)[:-1])
+
+
+def in_steps(context: np.ndarray, index: np.ndarray) -> np.ndarray:
+    unit = context / np.maximum(np.linalg.norm(context.astype(np.float64), axis=1, keepdims=True), 1)
+    return np.rint(STEPS * (unit + 0.5 * index / np.sqrt(NONZERO))).astype(np.int16)
+
+
+def pooled(column: pa.Array, again: pa.Array, vectors: np.ndarray, dtype: np.dtype) -> np.ndarray:
+    """Features of each text: mean word vector, and mean products of near words (zeros without words)."""
+    n, out = len(vectors), np.zeros((len(column), 2 * WIDTH))
+    padded = np.concatenate((vectors, np.zeros((1, WIDTH), np.int16)))
+    for first, rows, ids, starts in _pieces(column, dtype, n):
+        total = np.zeros((rows, WIDTH), dtype=np.int64)
+        for at in range(0, len(ids), CHUNK + REACH * rows):  # more than once for a long text alone
+            part = ids[at : at + CHUNK + REACH * rows]
+            total += np.add.reduceat(padded[part], np.zeros(1, np.int64) if rows == 1 else starts, axis=0, dtype=np.int64)
+        size = np.maximum(np.diff(np.concatenate((starts, [len(ids)]))) - REACH, 1)[:, None]
+        out[first : first + rows, :WIDTH] = total / (STEPS * size)
+    near = np.frombuffer(b"".join(again.to_pylist()), "<i8").reshape(-1, WIDTH + 1)
+    out[:, WIDTH:] = near[:, :-1] / np.maximum(near[:, -1:], 1)
+    return out
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -268,40 +275,64 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, found: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model fitted on the features `found` of at most `sample` labelled rows that aren't held out.
+def learn(texts: DataFrame, labels: DataFrame, vectors: np.ndarray, path: str, sample: int = SAMPLE) -> Model:
+    """A model fitted on at most `sample` labelled rows that aren't held out; texts has id and ids.
 
-    Labels without id or quality are ignored; several labels of a document give its mean, from 0.5 on good. Without
-    two classes of labels every score is the share of good labels (0.5 without any).
+    Labels without id or quality are ignored; several labels of a document give its mean, from 0.5 on good; of several
+    rows of a document the one with the smallest hash of its text counts. Without two classes of labels every score is
+    the share of good labels (0.5 without any). Other columns of labels are ignored.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # the documented bound
-    taken = docs.join(F.broadcast(known), F.col("doc_id").cast("long") == F.col("_id")).select("_id", "_y", *_keys()).dropDuplicates(["_id"])
-    rows = found.join(F.broadcast(taken), ["k1", "k2"]).select("_id", "_y", "x").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample).collect()
-    x = np.array([np.frombuffer(bytes(r.x), np.float32) for r in rows]).reshape(len(rows), 2 * WIDTH)
-    return fit(x, np.array([r._y for r in rows], dtype=np.float64))
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("id")))
+    known = known.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).join(texts.select("id").distinct(), "id", "left_semi")
+    known = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # the documented bound
+    taken = texts.select("id", "ids", "repeats").join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("ids").alias("h"), F.col("ids"), F.col("repeats"))).alias("x"))
+    dtype = encoder(path).dtype
+    shared = texts.sparkSession.sparkContext.broadcast(vectors)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = pooled(b.column(2), b.column(3), shared.value, dtype)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "y", "x"])
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs with a double column score (0 to 1); the text alone decides it, so equal texts score alike.
+    rows = taken.select("id", "y", "x.ids", "x.repeats").mapInArrow(run, "id long, y int, x binary").orderBy(F.xxhash64("id"), "id").collect()  # at most `sample` rows of 1 KB
+    x = np.array([np.frombuffer(bytes(r.x)) for r in rows]).reshape(len(rows), 2 * WIDTH)
+    return fit(x, np.array([r.y for r in rows], dtype=np.float64))
 
-    Null text counts as empty; repeated rows stay; other columns pass through unchanged (an own column score is
-    replaced); an empty table gives an empty result.
-    """
-    found = features(docs)
-    model = learn(docs, labels, found, sample)
+
+def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], path: str | None = None, sample: int = SAMPLE) -> DataFrame:
+    """(row struct of the columns keep, score double) of each row of docs, in one pass over its encoded texts."""
+    path = path or vocabulary()
+    texts = tokenised(docs, keep, path)
+    vectors = word_vectors(texts, path)
+    model, dtype = learn(texts, labels, vectors, path, sample), encoder(path).dtype
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_, fitted = shared.value
         for b in batches:
-            x = np.array([np.frombuffer(y.as_py(), np.float32) for y in b.column(2)]).reshape(-1, 2 * WIDTH)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(model.score(x), 9))], ["_j1", "_j2", "score"])
+            x = pooled(b.column(1), b.column(2), table_, dtype)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(fitted.score(x), 9))], ["row", "score"])
+
+    found = texts.select("row", "ids", "repeats")
+    return found.mapInArrow(run, found.select("row", F.lit(0.0).alias("score")).schema)
+
+
+def score(docs: DataFrame, labels: DataFrame, path: str | None = None, sample: int = SAMPLE) -> DataFrame:
+    """docs with a double column score (0 to 1); the text alone decides it, so equal texts score alike.
+
+    Null text counts as empty and scores like it; texts of any length are read whole; repeated rows stay; other columns
+    pass through unchanged, whatever their names, but an own column score is replaced; an empty table gives an empty result.
+    """
+    keep = tuple(c for c in docs.columns if c != "score")
+    return scored(docs, labels, keep, path, sample).select("row.*", "score")
+
 
-    scores = found.mapInArrow(run, "_j1 long, _j2 long, score double").dropDuplicates(["_j1", "_j2"])
-    kept = docs.drop("score")
-    k1, k2 = _keys()
-    return kept.select("*", k1.alias("_k1"), k2.alias("_k2")).join(scores, (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2"))).select(*kept.columns, "score")
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, path: str | None = None, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that score at least threshold, with all their own columns (an own score too) unchanged; else as score."""
+    return scored(docs, labels, tuple(docs.columns), path, sample).where(F.col("score") >= threshold).select("row.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    found = scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ("doc_id",))
+    doc = F.col("row.doc_id")
+    return found.select(doc.alias("doc_id"), held_out(doc).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
