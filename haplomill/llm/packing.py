@@ -1,11 +1,17 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Documents are dealt to parts by a hash of their id; a part is packed by one task. Within it each source has a
-queue, and in each round a queue earns its share of a window as deficit and is served what it has earned. Windows
-of `window` tokens are cut from that stream, so deficits carry from window to window. They carry from part to part
-as well: a source starts a part with what it was owed (or had too much of) over all parts before, from prefix sums
-of token counts. The last, partly filled window of a part is laid out as sequences of powers of two, which need no
-padding. Nothing but counts per part and source is gathered, and hot sources are spread over all parts.
+Each source is a stream of tokens, and the schedule of the whole corpus says how much of each stream is due when: all
+sources at the pace of their target shares, until one is dry and the rest share its place. The schedule is cut into
+parts of equal size, so a part holds the stretch of every stream that is due in it, and keeps the targets as one long
+run over the corpus would; documents are cut where a stretch ends. Positions in the streams come from prefix sums of
+token counts per task and source.
+
+A part is packed by one task: each source has a queue, and in each round a queue earns its share of a window as deficit
+and is served what it has earned. Windows of `window` tokens are cut from that stream, so deficits carry from window to
+window, and a part starts with what each source is owed by the schedule at that point (stretches end at whole grains of
+tokens, so that is at most a grain). The last, partly filled window of a part is laid out as sequences of powers of two,
+which need no padding. A part has a fixed number of tokens at any size of the corpus, and hot sources are spread over
+all parts.
 """
 
 from __future__ import annotations
@@ -22,25 +28,37 @@ from .common import cut, partitions, table
 from .tokens import encoder, vocabulary
 
 WINDOW, END_ID, MIN_PIECE = 2048, 1, 64
+#: Tokens of a part; a table with fewer than that many for each shuffle partition has a part for each.
+PART = 1_000_000
+#: Token counts per task and source that go to every task; beyond that they are joined by key.
+BROADCAST_COUNTS = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
 
 
-def tokenise(docs: DataFrame, path: str, end_id: int, key: str = "_part") -> DataFrame:
-    """(doc_id, source, _part, n, ids): the ids of each whole text and the end id, as little-endian integers."""
+def tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """(doc_id, source, chunk, off, n, ids): the ids of each whole text and the end id, as little-endian integers; off
+    counts the tokens of the same source before it in its chunk, which is what one task wrote."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        from pyspark import TaskContext
+
+        enc, chunk, upto = encoder(path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = [x + end for x in enc.encode(part.column(3).to_pylist())]
+                ids = [x + end for x in enc.encode(part.column(2).to_pylist())]
+                n = [len(x) // enc.dtype.itemsize for x in ids]
+                off = []
+                for source, k in zip(part.column(1).to_pylist(), n):
+                    off.append(upto.get(source, 0))
+                    upto[source] = off[-1] + k
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "source", key, "n", "ids"])
+                    [*part.columns[:2], pa.array([chunk] * len(n), pa.int64()), pa.array(off, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                    ["doc_id", "source", "chunk", "off", "n", "ids"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), key, F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, f"doc_id long, source string, {key} int, n long, ids binary")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
+    return kept.mapInArrow(run, "doc_id long, source string, chunk long, off long, n long, ids binary")
 
 
 class _Windows:
@@ -74,26 +92,63 @@ class _Windows:
             self._flush([1 << i for i in range(self.fill.bit_length() - 1, -1, -1) if self.fill >> i & 1])
 
 
-def round_robin(queues: dict, weights: dict | None, deficits: dict, windows: _Windows, least: int) -> None:
+class Schedule:
+    """When each token of each source is due, as a share of all tokens.
+
+    Pace: a weighted source has consumed weight * v tokens at pace v until it is dry; sources without a weight follow
+    once all others are dry, by their sizes. Without weights at all, every source is consumed from 0 to 1.
+    """
+
+    def __init__(self, total: int, weighted: dict[str, tuple[float, int]] | None):
+        self.total, self.last = total, 0.0
+        if weighted is None:
+            self.pace, self.due = np.array([0.0, 1.0]), np.array([0.0, float(total)])
+            return
+        ends = sorted({n / w for w, n in weighted.values()})
+        due = [sum(min(n, w * v) for w, n in weighted.values()) for v in ends]
+        self.last = ends[-1] if ends else 0.0
+        self.pace, self.due = np.array([0.0, *ends, self.last + 1]), np.array([0.0, *due, float(total)])
+
+    def part(self, pace: np.ndarray, parts: int) -> np.ndarray:
+        """The part in which the token that ends at a pace is due."""
+        found = np.ceil(np.interp(pace, self.pace, self.due) * (parts / self.total)).astype(np.int64) - 1
+        return np.clip(found, 0, parts - 1)
+
+    def start(self, part: int, parts: int) -> float:
+        return float(np.interp(part * (self.total / parts), self.due, self.pace))
+
+
+def stretches(x: int, n: int, size: int, grain: int, shift: int, late: float, rate: float, schedule: Schedule, parts: int) -> list[tuple[int, int, int]]:
+    """(part, first, end) of the tokens x ... x + n of a source's stream of `size`, counted from x.
+
+    Stretches end at whole grains, moved by `shift`; what is left at the end of a stream goes with the grain before it.
+    """
+    grain = min(grain, size)
+    shift %= grain
+    first, last = (x + shift) // grain, (x + n - 1 + shift) // grain
+    ends = (np.arange(first, last + 1) + 1) * grain - shift
+    due = np.where(ends > size, np.maximum(ends - grain, 1), ends)
+    part = schedule.part(late + due / rate, parts)
+    at = np.flatnonzero(part[1:] != part[:-1])
+    cuts = [0, *(ends[at] - x).tolist(), n]
+    return [(p, s, e) for p, s, e in zip([*part[at].tolist(), int(part[-1])], cuts[:-1], cuts[1:])]
+
+
+def round_robin(queues: dict, rates: dict, owed: dict, windows: _Windows, least: int) -> None:
     """Serve all queues of (doc, tokens) until they are dry.
 
-    What a source is owed from earlier parts is paid back over the whole part, and at most one quantum of it at
-    the start, so that a debt never fills windows of its own. Without weights a part's own supply is the target:
-    its queues then run dry together and every window has the mixture of the whole part. A queue is served once
-    its deficit has reached `least` tokens (or its whole rest), so that thousands of small sources don't fall into
-    single tokens; what isn't served stays owed.
+    In each round a queue earns its share of a window, by the rates of those that aren't dry, beside what it is owed at
+    the start. A queue is served once its deficit has reached `least` tokens (or its whole rest), so that thousands of
+    small sources don't fall into single tokens; what isn't served stays owed.
     """
     waiting = {s: sum(n for _, n in q) for s, q in queues.items()}
     active = sorted(s for s in queues if waiting[s])
-    supply = sum(waiting.values())
-    base = {s: waiting[s] / supply if weights is None else max(0.0, weights.get(s, 0.0) + deficits.get(s, 0.0) / supply) for s in active}
-    owed = {s: max(-1.0, min(1.0, deficits.get(s, 0.0) / (windows.window * base[s] or 1))) * windows.window * base[s] for s in active}
-    started = dict.fromkeys(active, 0)
+    owed, started = {s: owed.get(s, 0.0) for s in active}, dict.fromkeys(active, 0)
     while active:
-        share = sum(base[s] for s in active)
-        gains = {s: windows.window * (base[s] / share if share > 0 else 1 / len(active)) for s in active}
+        share = sum(rates[s] for s in active)
+        gains = {s: windows.window * rates[s] / share for s in active}
         # if nobody can be served for many rounds, pass them at once
-        wait = min((max(0.0, min(least, waiting[s]) - owed[s]) / gains[s] for s in active if gains[s] > 0), default=0)
+        wait = min(max(0.0, min(least, waiting[s]) - owed[s]) / gains[s] for s in active)
         rounds = max(1, int(wait))
         dry = False
         for s in active:
@@ -121,73 +176,92 @@ def round_robin(queues: dict, weights: dict | None, deficits: dict, windows: _Wi
 def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW, weights: dict[str, float] | None = None, parts: int | None = None, with_ids: bool = True, least: int = MIN_PIECE) -> DataFrame:
     """Pieces of the packed sequences, as in PIECES; sequence ids are unique, ascending within a part, not dense.
 
-    weights: target share of each source (default: its share of all tokens); a source without one is served when
-    the others are dry, as every token is packed once. Once a queue of a part is dry, the rest share its windows.
-    Null text counts as empty (its end id alone), a null source as '', and a null doc_id stays null; repeated rows
-    are packed as often as they occur; other columns are ignored; an empty table gives no pieces.
+    weights: target share of each source (default: its share of all tokens). Every token is packed once, so targets
+    hold until a source is dry; the others then share its place, and sources without a weight come last. Null text
+    counts as empty (its end id alone), a null source as '', and a null doc_id stays null; texts of any length are cut
+    freely; repeated rows are packed as often as they occur; other columns are ignored; an empty table gives no pieces.
     """
     spark = docs.sparkSession
-    parts = parts or partitions(spark)
-    targeted = weights is not None
-    dealt = docs.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    tok = cut(tokenise(dealt, path, end_id), "tokens")
-    counts = tok.groupBy("_part", "source").agg(F.sum("n").alias("n"))
-    whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    own = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.groupBy("_part").agg(F.sum("n").alias("t")).select("_part", F.coalesce(F.sum("t").over(whole), F.lit(0)).alias("t"))
-    if weights is None:
-        grown = counts.groupBy("source").agg(F.sum("n").alias("w"))
-        counts = counts.join(grown, "source")
-        grand = grown.agg(F.sum("w").alias("all"))
-        share = counts.crossJoin(F.broadcast(grand)).withColumn("w", F.col("w") / F.col("all"))  # one row
-    else:
-        scale = sum(weights.values()) or 1.0
-        listed = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v / scale))]) if weights else None
-        share = counts.withColumn("w", F.coalesce(F.try_element_at(listed, F.col("source")), F.lit(0.0)) if weights else F.lit(0.0))
-    owed = share.join(before, "_part").select(
-        "_part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "source", F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("ids"),
-        F.col("w").cast("double").alias("w"), (F.col("w") * F.col("t") - F.coalesce(F.sum("n").over(own), F.lit(0))).cast("double").alias("owed"))
-    rows = owed.unionByName(tok.select("_part", F.lit(1).alias("kind"), "doc_id", "source", "n", "ids", F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("owed")))
-    ordered = rows.repartition(parts, "_part").sortWithinPartitions("_part", "kind", F.xxhash64("doc_id", F.lit("order")), "doc_id", "source", "ids")
-    ordered = ordered.select("_part", "kind", "doc_id", "source", "n", "ids", "w", "owed")
+    tok = cut(tokenise(docs, path, end_id), "tokens")
+    counts = cut(tok.groupBy("chunk", "source").agg(F.sum("n").alias("n")), "counts")
+    size = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")).first()
+    total = size.tokens or 0
+    parts = parts or max(partitions(spark), -(-total // PART))
+    positive = None if weights is None else {k: float(v) for k, v in weights.items() if v > 0}
+    weighted = None
+    if positive is not None:
+        found = counts.where(F.col("source").isin(list(positive))).groupBy("source").agg(F.sum("n").alias("n")).collect() if positive else []  # a row per weight
+        weighted = {r.source: (positive[r.source], r.n) for r in found}
+    schedule = Schedule(max(total, 1), weighted)
+    own = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select("chunk", "source", F.coalesce(F.sum("n").over(own), F.lit(0)).alias("base")).join(counts.groupBy("source").agg(F.sum("n").alias("size")), "source")
+    if size.rows <= BROADCAST_COUNTS:
+        placed = F.broadcast(placed)
+    rows = tok.join(placed, ["chunk", "source"]).select("doc_id", "source", "n", "ids", (F.col("base") + F.col("off")).alias("x"), "size", F.pmod(F.xxhash64("source"), F.lit(1 << 20)).alias("shift"))
+
+    def pace(source: str, n: int) -> tuple[float, float]:
+        """The pace at which a source begins, and its tokens for each unit of pace."""
+        return (0.0, float(n)) if weighted is None else (0.0, weighted[source][0]) if source in weighted else (schedule.last, float(n))
+
+    dealt = "part long, doc_id long, source string, n long, ids binary, x long, size long, first long"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = encoder(path).dtype.itemsize
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                out: list[list] = [[] for _ in range(8)]
+                for doc, source, n, ids, x, size, shift in zip(*(c.to_pylist() for c in b.slice(at, 1000).columns)):
+                    late, rate = pace(source, size)
+                    for part, s, e in stretches(x, n, size, least, shift, late, rate, schedule, parts):
+                        for c, v in zip(out, (part, doc, source, n, ids[s * width : e * width], x + s, size, s)):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], [c.split()[0] for c in dealt.split(", ")])
+
+    ordered = rows.mapInArrow(deal, dealt).repartition(min(parts, partitions(spark)), "part").sortWithinPartitions("part", "source", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = encoder(path).dtype
-        part, held = None, []
+        now, held = None, []
 
         def packed() -> Iterator[pa.RecordBatch]:
-            share, owing, queues = {}, {}, {}
-            for kind, doc, source, n, ids, w, d in held:
-                if kind:
-                    queues.setdefault(source, deque()).append(((doc, source, n, ids), n))
-                else:
-                    share[source], owing[source] = w, d
-            held.clear()
-            windows = _Windows(part << 32, window)
-            round_robin(queues, share if targeted else None, owing, windows, least)
+            began = schedule.start(now, parts)
+            queues, rates, owed = ({}, {}), {}, {}
+            for row in held:
+                source, x, size = row[1], row[4], row[5]
+                if source not in rates:
+                    late, rates[source] = pace(source, size)
+                    owed[source] = min(max((began - late) * rates[source], 0.0), float(size)) - x
+                    queues[late > 0][source] = deque()
+                queues[pace(source, size)[0] > 0][source].append((row, len(row[3]) // width.itemsize))
+            windows = _Windows(now << 32, window)
+            for q in queues:  # weighted sources first
+                round_robin(q, rates, owed, windows, least)
             windows.close()
+            held.clear()
             wide: dict[int, memoryview] = {}
             for at in range(0, len(windows.done), 20_000):
                 some = windows.done[at : at + 20_000]
                 cols: list[list] = [[] for _ in range(9)]
-                for doc, start, n, seq, offset in some:
-                    view = wide.get(id(doc))
+                for row, start, n, seq, offset in some:
+                    doc, source, doc_n, ids, _, _, first = row
+                    view = wide.get(id(row))
                     if view is None:
-                        view = wide[id(doc)] = memoryview(np.frombuffer(doc[3], width).astype("<u4").tobytes())
+                        view = wide[id(row)] = memoryview(np.frombuffer(ids, width).astype("<u4").tobytes())
                     crc = zlib.crc32(view[4 * start : 4 * (start + n)])
-                    ids = doc[3][start * width.itemsize : (start + n) * width.itemsize] if with_ids else None
-                    for c, v in zip(cols, (doc[0], start, n, crc, doc[2], seq, offset, doc[1], ids)):
+                    own = ids[start * width.itemsize : (start + n) * width.itemsize] if with_ids else None
+                    for c, v in zip(cols, (doc, first + start, n, crc, doc_n, seq, offset, source, own)):
                         c.append(v)
-                    if start + n == doc[2]:
-                        wide.pop(id(doc))
+                    if 4 * (start + n) == len(view):
+                        wide.pop(id(row))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 7 + [pa.string(), pa.binary()])], [x.split()[0] for x in PIECES.split(", ")])
 
         for b in batches:
-            for p, *row in zip(*(b.column(i).to_pylist() for i in range(8))):
-                if p != part and held:
-                    yield from packed()
-                part = p
-                held.append(row)
+            for at in range(0, b.num_rows, 1000):
+                for part, *row in zip(*(c.to_pylist() for c in b.slice(at, 1000).columns)):
+                    if part != now and held:
+                        yield from packed()
+                    now = part
+                    held.append(row)
         if held:
             yield from packed()
 

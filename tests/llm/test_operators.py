@@ -55,11 +55,11 @@ def test_packing(spark, docs, none, tokenizer):
     assert packing.pack(none, vocabulary()).count() == 0
 
 
-def test_mixture_follows_weights():
+def test_mixture_follows_rates():
     from collections import deque
 
     w = packing._Windows(0, 2048)
-    packing.round_robin({s: deque(((s, i), 500) for i in range(400)) for s in "ab"}, {"a": 0.75, "b": 0.25}, {"a": 900.0, "b": -900.0}, w, 64)
+    packing.round_robin({s: deque(((s, i), 500) for i in range(400)) for s in "ab"}, {"a": 3.0, "b": 1.0}, {"a": 900.0, "b": -900.0}, w, 64)
     w.close()
     for seq in range(3, 100):  # the debt of 900 tokens is paid in the first windows
         mine = sum(n for doc, _, n, s, _ in w.done if s == seq and doc[0] == "a")
@@ -67,6 +67,60 @@ def test_mixture_follows_weights():
     assert sum(n for _, _, n, _, _ in w.done) == 400_000
 
 
+def window_mixtures(got):
+    rows = {}
+    for r in got:
+        rows.setdefault(r.sequence_id, []).append(r)
+    full = [x for _, x in sorted(rows.items()) if sum(r.length for r in x) == 2048]
+    return [{s: sum(r.length for r in x if r.source == s) / 2048 for s in {r.source for r in x}} for x in full]
+
+
+def off(mixture, target):
+    return sum(abs(mixture.get(s, 0) - target.get(s, 0)) for s in {*mixture, *target}) / 2
+
+
+def test_windows_keep_the_mixture_across_parts(spark, tokenizer):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(5)
+    rows = docs.select("doc_id", "source", "text").collect()
+    ids = {r.doc_id: tokenizer(r.text) + [1] for r in rows}
+    share = {}
+    for r in rows:
+        share[r.source or ""] = share.get(r.source or "", 0) + len(ids[r.doc_id]) / sum(map(len, ids.values()))
+    for parts, weights in ((8, None), (64, None), (64, share)):
+        got = packing.pack(docs, vocabulary(), parts=parts, weights=weights).collect()
+        assert np.median([off(m, share) for m in window_mixtures(got)]) <= 0.05
+        at = {}
+        for r in sorted(got, key=lambda r: (r.doc_id, r.start)):  # every id once
+            assert r.start == at.get(r.doc_id, 0) and r.ids_crc32 == crc(ids[r.doc_id][r.start : r.start + r.length])
+            at[r.doc_id] = r.start + r.length
+        assert at == {d: len(x) for d, x in ids.items()}
+
+
+def test_weights_hold_until_a_source_is_dry(spark):
+    docs = spark.createDataFrame([(i, " word" * 400, "abcd"[i % 4]) for i in range(800)], "doc_id long, text string, source string")
+    got = packing.pack(docs, vocabulary(), parts=7, weights={"a": 0.6, "b": 0.3, "c": 0.1, "never": 1.0}).collect()
+    kinds = [set(m) for m in window_mixtures(got)]
+    assert sum(off(m, {"a": 0.6, "b": 0.3, "c": 0.1}) <= 0.02 for m in window_mixtures(got)[:60]) >= 57
+    assert {"d"} in kinds and not any("d" in k and len(k) > 1 for k in kinds[:100])
+    assert sum(r.length for r in got) == 800 * 401
+
+
+def test_stretches_equal_a_walk_over_tokens():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        size, parts, grain, shift = int(rng.integers(1, 3000)), int(rng.integers(1, 40)), 64, int(rng.integers(0, 1 << 20))
+        schedule = packing.Schedule(size * 3, None)
+        whole = packing.stretches(0, size, size, grain, shift, 0.0, size, schedule, parts)
+        assert whole[0][1] == 0 and whole[-1][2] == size and all(a[2] == b[1] and a[0] < b[0] for a, b in zip(whole, whole[1:]))
+        of = {t: p for p, s, e in whole for t in range(s, e)}
+        x = 0
+        while x < size:  # any cut into documents gives the same parts
+            n = int(min(size - x, rng.integers(1, 700)))
+            assert {x + t: p for p, s, e in packing.stretches(x, n, size, grain, shift, 0.0, size, schedule, parts) for t in range(s, e)} == {t: of[t] for t in range(x, x + n)}
+            x += n
+        assert all(abs(t / size * parts - p) <= 1 + 2 * grain * parts / size for t, p in of.items())
+
+
 def test_shards(spark, docs, none, tokenizer, tmp_path):
     manifest = sstable.write_shards(docs, vocabulary(), f"file://{tmp_path}/s", shards=3)
     got = sorted(sstable.read_shards(manifest).collect(), key=lambda r: r.start)
@@ -229,25 +283,42 @@ def test_words_of_one_bucket_score_apart(spark):
 
 
 def test_features_equal_brute_force(spark, monkeypatch):
+    import pyarrow as pa
+
     rng = np.random.default_rng(1)
     texts = [" ".join(f"w{chr(97 + int(i) % 26)}{chr(97 + int(i) // 26)}" for i in rng.zipf(1.4, int(n)) % 300) for n in rng.integers(0, 120, 60)] + ["", "one", None, "one"]
-    monkeypatch.setattr(quality, "BLOCK", 700)
+    monkeypatch.setattr(quality, "CHUNK", 70)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    words = [quality.word_ids((t or "").encode()).tolist() for t in texts]
-    index = {w: quality.index_vectors(np.array([w], np.uint64))[0].astype(float) for t in words for w in t}
-    context = {w: np.zeros(quality.WIDTH) for w in index}
-    for t in words:
+    found = quality.tokenised(docs, ("doc_id",), vocabulary())
+    dtype = quality.encoder(vocabulary()).dtype
+    ids = {r.id: np.frombuffer(bytes(r.ids), dtype).tolist() for r in found.collect()}
+    index = quality.index_vectors(50257).astype(int)
+    context = np.zeros((50257, quality.WIDTH), int)
+    for t in ids.values():
         for i, w in enumerate(t):
             for j in (i - 2, i - 1, i + 1, i + 2):
                 if 0 <= j < len(t):
                     context[w] += index[t[j]]
-    keys = docs.select("doc_id", *quality._keys())
-    got = {r.doc_id: np.frombuffer(bytes(r.x), np.float32) for r in keys.join(quality.features(docs), ["k1", "k2"]).collect()}
-    assert len(got) == len(texts) and quality.features(docs).count() == len(texts)
-    for i, t in enumerate(words):
-        mean = sum((context[w] / max(np.linalg.norm(context[w]), 1) + 0.5 * index[w] / 8**0.5 for w in t), np.zeros(quality.WIDTH)) / max(len(t), 1)
-        near = sum((index[t[j]] * index[t[j + d]] for d in (1, 2) for j in range(len(t) - d)), np.zeros(quality.WIDTH)) / max(len(t), 1)
-        assert np.allclose(got[i], np.concatenate((mean, near)), atol=1e-5)
+    vectors = quality.word_vectors(found, vocabulary())
+    assert (vectors == quality.in_steps(context, index[:-1])).all() and context.any()
+    order = sorted(ids)
+    got = quality.pooled(pa.array([np.array(ids[i], dtype).tobytes() for i in order], pa.binary()), pa.array([quality.repeats((texts[i] or "").encode()).astype("<i8").tobytes() for i in order], pa.binary()), vectors, dtype)
+    for i, x in zip(order, got):
+        words = quality.drawn_vectors(quality.word_ids((texts[i] or "").encode())).astype(int)
+        mean = vectors[ids[i]].astype(int).sum(axis=0) / quality.STEPS / max(len(ids[i]), 1)
+        near = sum((words[j] * words[j + d] for d in (1, 2) for j in range(len(words) - d)), np.zeros(quality.WIDTH)) / max(len(words), 1)
+        assert np.allclose(x, np.concatenate((mean, near)))
+
+
+def test_quality_with_clashing_columns(spark):
+    rows = [(i, "good plain words in a row here " * 5 if i % 2 else "$$$ bad ### $$$ " * 9, 7, -i, "own", "x") for i in range(120)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, _id int, _y int, score string, `a b` string")
+    labels = many.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit("clash").alias("text"), F.lit(1).alias("_id"))
+    kept = quality.accepted(many, labels)
+    assert kept.columns == many.columns and kept.schema["score"].dataType.simpleString() == "string"
+    assert {r.doc_id for r in kept.collect()} == set(range(1, 120, 2)) and {r.score for r in kept.collect()} == {"own"}
+    got = quality.score(many, labels).collect()
+    assert len(got) == 120 and all(r._id == 7 and r._y == -r.doc_id and isinstance(r.score, float) for r in got)
 
 
 def shingles(text, k=5):
