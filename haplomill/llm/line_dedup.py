@@ -39,12 +39,26 @@ def drop_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, leas
     """docs with the boilerplate lines out of text, and with n_lines and n_dropped.
 
     Lines are the stretches between line feeds, compared whole; empty lines are never counted nor dropped. A null
-    text stays null (0 lines), a null host is the host ''; a page left without lines keeps an empty text; repeated
-    rows each count as a page; other columns pass through unchanged; an empty table gives an empty result.
+    text stays null (0 lines), a null host is the host ''; a page left without lines keeps an empty text; texts of any
+    length are split whole; repeated rows each count as a page; other columns pass through unchanged, whatever their
+    names, but own columns n_lines and n_dropped are replaced; an empty table gives an empty result.
     """
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return _cleaned(docs, keep, host, ratio, least_pages, broadcast_lines).select("row.*", "n_lines", "n_dropped")
+
+
+def cleaned(docs: DataFrame, host: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """docs with the boilerplate lines out of text and all other columns unchanged; else as drop_lines."""
+    return _cleaned(docs, docs.columns, host, ratio, least_pages, broadcast_lines).select("row.*")
+
+
+def _cleaned(docs: DataFrame, keep: list[str], host: str, ratio: float, least_pages: int, broadcast_lines: int) -> DataFrame:
+    """(row struct of the columns keep, n_lines, n_dropped); in a struct, no name can clash with those used here."""
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
+    host = "host"
     found = cut(boilerplate(docs, host, ratio, least_pages), "boilerplate")
     size = found.groupBy("_host").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
-    own = F.coalesce(F.col(host).cast("string"), F.lit(""))
+    own = F.coalesce(F.col(host), F.lit(""))
     lines = F.split("text", "\n", -1)
     if (size.n or 0) <= broadcast_lines and (size.most or 0) <= HOST_LINES:
         listed = F.broadcast(found.groupBy("_host").agg(F.collect_set("h").alias("_bad")))
@@ -58,10 +72,10 @@ def drop_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, leas
         joined = docs.select("*", *key).join(held.withColumnsRenamed({"_own": "_o", "_k1": "_j1", "_k2": "_j2"}), (F.col("_own") == F.col("_o")) & (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")), "left")
     kept = F.filter(lines, lambda x: (x == "") | ~F.array_contains(F.col("_bad"), _hash(x)))
     some = joined.withColumn("_kept", F.when(F.col("_bad").isNull(), lines).otherwise(kept))
-    names = [F.array_join("_kept", "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    text = F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n"))
     n = F.coalesce(F.size(lines), F.lit(0))
     n = F.when(F.col("text").isNull(), 0).otherwise(n)
-    return some.select(*names, n.alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n - F.size("_kept")).alias("n_dropped"))
+    return some.select(F.col("row").withField("text", text).alias("row"), n.alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n - F.size("_kept")).alias("n_dropped"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
