@@ -7,7 +7,7 @@ one row; nothing larger than a conversation ever does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import table
 
@@ -37,31 +37,21 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     Each assistant turn gives one trainable example that ends with its reply. If a conversation ends with other
     turns, one last example without a loss span holds the whole of it, so that no turn is lost. Null roles and
-    texts count as empty; turns are ordered by turn (nulls first), ties by role, then text; repeated rows stay
-    repeated turns; rows with a null conv_id form one conversation. Other columns are ignored.
+    texts count as empty; texts of any length are kept whole; turns are ordered by turn (nulls first), ties by role, then
+    text; repeated rows stay repeated turns; rows with a null conv_id form one conversation; other columns are ignored,
+    whatever their names; an empty table gives no examples.
     """
-    listed = turns.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("k"), F.coalesce("turn", F.lit(0)).alias("t"), F.coalesce("role", F.lit("")).alias("r"), F.coalesce("text", F.lit("")).alias("x")))).alias("_l")
-    )
-    said = listed.select(
-        "conv_id",
-        F.transform("_l", lambda e: (e.r == "assistant")).alias("_a"),
-        F.transform("_l", lambda e: F.concat(F.lit(START), escape_role(e.r), F.lit("\n"))).alias("_h"),
-        F.transform("_l", lambda e: escape(e.x)).alias("_b"),
-    )
-    said = said.select(
-        "conv_id", "_a",
-        F.transform("_b", lambda b: F.length(b)).alias("_n"),
-        F.transform("_h", lambda h: F.length(h)).alias("_m"),
-        F.array_join(F.zip_with("_h", "_b", lambda h, b: F.concat(h, b, F.lit(END + "\n"))), "").alias("_all"),
-    )
     extra = len(END) + 1
-    # running ends of the turns, folded once per conversation
-    ends = F.aggregate(
-        F.zip_with("_m", "_n", lambda m, n: m + n + extra), F.array().cast("array<int>"),
-        lambda acc, n: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n).cast("int"))),
-    )
-    said = said.withColumn("_e", F.when(F.size("_n") > 0, ends))
+    role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    one = turns.select("conv_id", F.col("turn").cast("long").alias("t"), role.alias("r"), text.alias("x"))
+    one = one.select("conv_id", "t", "r", "x", F.concat(F.lit(START), escape_role(F.col("r")), F.lit("\n")).alias("h"), escape(F.col("x")).alias("b"))
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("t"), "r", "x")
+    placed = one.select("conv_id", F.struct(
+        F.row_number().over(order).alias("k"), (F.col("r") == "assistant").alias("a"), F.length("b").alias("n"),
+        F.sum(F.length("h") + F.length("b") + extra).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("e"), F.concat("h", "b", F.lit(END + "\n")).alias("s")).alias("u"))
+    said = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("u")).alias("_l")).select(
+        "conv_id", F.transform("_l", lambda u: u.a).alias("_a"), F.transform("_l", lambda u: u.n).alias("_n"),
+        F.transform("_l", lambda u: u.e).alias("_e"), F.array_join(F.transform("_l", lambda u: u.s), "").alias("_all"))
     wanted = F.filter(F.sequence(F.lit(1), F.size("_a")), lambda i: F.element_at("_a", i) | (i == F.size("_a")))
     one = said.select("conv_id", "_a", "_n", "_e", "_all", F.posexplode(wanted).alias("example", "_i"))
     train = F.element_at("_a", F.col("_i"))
