@@ -5,7 +5,7 @@ index with the first key of each block, and a fixed footer. Shards cover ascendi
 
 File, in order (integers are little-endian; v: unsigned LEB128):
   blocks:  zstd of entries (v shared, v rest, v size, rest of the key, value), each followed by its crc32 (4 bytes)
-  bloom:   bit array, HASHES probes by double hashing
+  bloom:   bit array, HASHES probes by double hashing with the two halves of a key's XXH64
   index:   entries (v key size, key, v offset, v size) of all blocks
   footer:  8 unsigned 64-bit: bloom offset, bloom size, index offset, index size, entries, ids, bytes per id, MAGIC
 Keys: 8 bytes big-endian of doc_id + 2**63; a null doc_id has the empty key, which sorts first. Values: the ids.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -61,7 +62,8 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 def _probes(key: bytes, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+    h = xxhash.xxh64_intdigest(key)
+    a, b = h & 0xFFFFFFFF, h >> 32 | 1
     return [(a + i * b) % bits for i in range(HASHES)]
 
 
@@ -178,8 +180,9 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
     """Encode and write all documents; the manifest has one row per shard: MANIFEST.
 
     A shard is written under a name of its attempt and then renamed, so a repeated task replaces equal bytes.
-    Null text counts as empty (its end id alone); a null doc_id sorts first; rows of one id are ordered by their
-    ids; an empty table gives no shard.
+    Null text counts as empty (its end id alone); texts of any length are written whole, as one entry; a null doc_id
+    sorts first; rows of one id are ordered by their ids; other columns are ignored, whatever their names; an empty
+    table gives no shard.
     """
     bounds = np.array(id_bounds(docs, "doc_id", shards or partitions(docs.sparkSession)), dtype=np.int64)
 
