@@ -1,8 +1,9 @@
 """URL filter: host-suffix and path-prefix expressions, joined on short hash prefixes.
 
-Each distinct URL is expanded only into the (host suffix, path prefix) lengths that occur among the rules, as
-Safe-Browsing-like lists do. An expression's SHA-256 digest is cut to 4 bytes for an equi-join; the full digest
-is compared after it, and the longest rule that fits wins. Everything is DataFrame functions.
+Each URL is expanded only into the (host suffix, path prefix) lengths that occur among the rules, as
+Safe-Browsing-like lists do. An expression's SHA-256 digest is cut to 4 bytes, and expressions and rules are joined on
+these alone; the full digest is compared on what met, and the longest confirmed rule wins. Of a URL only two hashes
+go through the join, combined before the shuffle. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -39,9 +40,11 @@ def _digest(host: Column, path: Column) -> Column:
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: id, host, path, rule, verdict.
 
-    Null or scheme-less URLs have an empty host and path and fit no rule (verdict: default). Equal rules with
-    different verdicts: block wins. Repeated rows come out as often as they went in; other columns are ignored.
-    An empty rule path fits every path, an empty rule host every host; an empty table gives an empty result.
+    Null or scheme-less URLs have an empty host and path; only a rule that is empty throughout fits them. Equal rules
+    with different verdicts: block wins. The longest rule wins, among equally long ones the one with the longer host. An
+    empty rule path fits every path, an empty rule host every host. URLs of any length are read whole. Repeated rows
+    come out as often as they went in; other columns are ignored; without rules, and for URLs that none fits, the
+    verdict is the default; an empty table gives an empty result.
     """
     listed = (
         rules.select(F.coalesce(F.translate("rule_host", _UPPER, _LOWER), F.lit("")).alias("rh"), F.coalesce("rule_path", F.lit("")).alias("rp"), F.col("rule_verdict").alias("rv"))
@@ -55,27 +58,24 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_c
         F.collect_set(F.when(F.col("rh") == "", 0).otherwise(F.size(F.split("rh", r"\.")))).alias("labels"),
         F.collect_set(F.length("rp")).alias("lengths"), F.count("*").alias("n"),
     ).first()
-    one = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).groupBy("_id", "_url").agg(F.count("*").alias("_n"))
-    one = one.withColumn("_host", host_of(F.col("_url"))).withColumn("_path", path_of(F.col("_url"))).withColumn("_parts", F.split("_host", r"\."))
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    one = pages.select(F.col(id_col).alias("_id"), host_of(url).alias("_host"), path_of(url).alias("_path"), F.xxhash64(url).alias("_k1"), F.xxhash64(F.lit("url"), url).alias("_k2"))
     if not shape.n:
-        best = one.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    else:
-        suffixes = F.filter(
-            F.transform(F.array(*[F.lit(x) for x in sorted(shape.labels)]), lambda k: F.when(k == 0, F.lit("")).when((F.size("_parts") >= k) & (F.col("_host") != ""), F.array_join(F.slice("_parts", F.size("_parts") - k + 1, k), "."))),
-            lambda x: x.isNotNull(),
-        )
-        prefixes = F.transform(F.filter(F.array(*[F.lit(x) for x in sorted(shape.lengths)]), lambda n: n <= F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n))
-        pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("h"), p.alias("p")))))
-        asked = one.withColumn("_x", F.explode_outer(pairs)).withColumn("_digest", _digest(F.col("_x.h"), F.col("_x.p"))).withColumn("_short", F.substring("_digest", 1, 8))
-        side = F.broadcast(listed) if shape.n <= BROADCAST_RULES else listed
-        hit = asked.join(side, (F.col("_short") == F.col("short")) & (F.col("_digest") == F.col("digest")), "left")
-        best = hit.groupBy("_id", "_url").agg(
-            F.first("_n").alias("_n"), F.first("_host").alias("_host"), F.first("_path").alias("_path"),
-            F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("len"), F.length("rh").alias("hl"), F.col("rv").alias("rv"), F.col("rule").alias("rule")))).alias("_m"),
-        ).withColumn("rule", F.col("_m.rule")).withColumn("verdict", F.coalesce(F.col("_m.rv"), F.lit(default)))
-    return best.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(
-        F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), "rule", "verdict"
+        return one.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    parts = F.split("_host", r"\.")
+    suffixes = F.filter(
+        F.transform(F.array(*[F.lit(x) for x in sorted(shape.labels)]), lambda k: F.when(k == 0, F.lit("")).when((F.size(parts) >= k) & (F.col("_host") != ""), F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))),
+        lambda x: x.isNotNull(),
     )
+    prefixes = F.transform(F.filter(F.array(*[F.lit(x) for x in sorted(shape.lengths)]), lambda n: n <= F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n))
+    digests = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: _digest(h, p))))
+    asked = one.select("_k1", "_k2", F.explode(digests).alias("_digest")).withColumn("_short", F.substring("_digest", 1, 8))
+    side = F.broadcast(listed) if shape.n <= BROADCAST_RULES else listed
+    # short prefixes meet; then the full digest confirms, and the longest confirmed rule of a URL takes precedence
+    met = asked.join(side, F.col("_short") == F.col("short")).withColumn("_confirmed", F.col("_digest") == F.col("digest"))
+    best = met.groupBy("_k1", "_k2").agg(F.max(F.when(F.col("_confirmed"), F.struct(F.length("rule").alias("len"), F.length("rh").alias("hl"), "rv", "rule"))).alias("_m")).where("_m IS NOT NULL")
+    judged = one.join(best, ["_k1", "_k2"], "left")
+    return judged.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_m.rule").alias("rule"), F.coalesce(F.col("_m.rv"), F.lit(default)).alias("verdict"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
