@@ -2,18 +2,20 @@
 
 Text becomes marked words (a blank is written as a mark before its word). The distinct marked words of a batch are
 sorted, which is the depth-first order of their trie; the forward state of each prefix stays on a stack, so a word
-only computes what lies beyond the prefix it shares with the word before.
-
-A unigram vocabulary would keep the best score and last piece of a prefix (Viterbi). A merge vocabulary has no
-additive score: a path is right if neighbouring pieces stay apart when the merges run over the two of them alone,
-and exactly one last piece of each prefix satisfies that, so the same pass keeps that piece. An automaton over
-the pieces names those that may end at each prefix. Characters without a
-piece fall back to byte pieces, and never join a neighbour.
+only computes what lies beyond the prefix it shares with the word before. A prefix keeps its last piece alone, which
+points back to the prefix before it, so memory is linear in the longest word.
+
+For a unigram vocabulary the state of a prefix is its best score (Viterbi): the largest sum of the scores of pieces that
+make it up, the longer last piece among equals. A merge vocabulary has no additive score: a path is right if
+neighbouring pieces stay apart when the merges run over the two of them alone, and exactly one last piece of each prefix
+satisfies that, so the same pass keeps that piece. An automaton over the pieces names those that may end at each prefix.
+Characters without a piece fall back to byte pieces, and never join a neighbour.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from array import array
@@ -31,9 +33,49 @@ WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 LETTER = re.compile(r"[^\W\d_]")
 #: Characters that stand alone in the vocabularies known here; checked against the pieces before use.
 SINGLE = "\n0123456789"
+#: Longer words seldom come again and are not kept.
+LONGEST = 100
+#: What a character without a piece scores below the worst piece (fixed by the unigram model).
+UNKNOWN = 10.0
 ENCODED = "doc_id long, n_ids long, ids array<int>, ids_crc32 long, decoded_sha256 string, round_trip boolean"
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message; fixed-width values as bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            n |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return n
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+def is_unigram(model: bytes) -> bool:
+    """Whether a model file says so: field 3 of its field 2 is 1 for a unigram vocabulary (the default) and 2 for merges."""
+    kind = 1
+    for number, spec in _fields(model):
+        if number == 2:
+            kind = next((v for k, v in _fields(spec) if k == 3), kind)
+    if kind not in (1, 2):
+        raise ValueError("only unigram and merge vocabularies are known")
+    return kind == 1
+
+
 class Pieces:
     """The vocabulary of a model file, and the forward pass over it."""
 
@@ -43,7 +85,10 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.ids: dict[str, int] = {}
-        self.byte_ids, self.shown = [0] * 256, [b""] * n
+        self.unigram = is_unigram(model.serialized_model_proto())
+        self.dtype = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if n <= 1 << 16 else "I"
+        self.byte_ids, self.shown = [-1] * 256, [b""] * n
         scores = []
         for i in range(n):
             piece = model.id_to_piece(i)
@@ -54,7 +99,11 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece] = i
                 self.shown[i] = piece.replace(MARK, " ").encode()
+        if min(self.byte_ids) < 0:
+            raise ValueError("a character without a piece needs byte pieces")
         self.scores = scores
+        self.unknown = min((scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN
+        self.own: dict[str, bytes] = {}
         self.inside = any(MARK in p.lstrip(MARK) for p in self.ids)  # then no blank separates words
         self.word = self._word()
         self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
@@ -82,16 +131,29 @@ class Pieces:
     def merged(self, text: str) -> list[str]:
         """The merges as defined: the best-scored adjacent pair first, leftmost among equals."""
         parts, ids, scores = list(text), self.ids, self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                found = ids.get(parts[i] + parts[i + 1])
-                if found is not None and (best is None or scores[found] > best):
-                    best, at = scores[found], i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        queue: list[tuple] = []
+
+        def offer(i: int) -> None:
+            if after[i] < len(parts):
+                found = ids.get(parts[i] + parts[after[i]])
+                if found is not None:
+                    heapq.heappush(queue, (-scores[found], i, parts[i], parts[after[i]]))
+
+        for i in range(len(parts)):
+            offer(i)
+        while queue:
+            _, i, left, right = heapq.heappop(queue)
+            j = after[i]
+            if parts[i] != left or j >= len(parts) or parts[j] != right:
+                continue
+            parts[i], parts[j], after[i] = left + right, "", after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [p for p in parts if p]
 
     def _grow(self, node: tuple, char: str) -> tuple:
         """The node after a character: the pieces that may end there, longest first, and the nodes that follow.
@@ -108,10 +170,10 @@ class Pieces:
             for at in range(len(name)):
                 piece = name[at:]
                 known = self.ids.get(piece)
-                if known is not None and self.merged(piece) == [piece]:
-                    ends.append((piece, len(piece), {}, array("H", [known]).tobytes()))
+                if known is not None and (self.unigram or self.merged(piece) == [piece]):
+                    ends.append((piece, len(piece), {}, self.scores[known]))
                 elif len(piece) == 1:
-                    ends.append((piece, 1, {}, array("H", [self.byte_ids[b] for b in piece.encode()]).tobytes()))
+                    ends.append((piece, 1, {}, self.unknown))
             found = (tuple(ends), {}, name)
             if len(self.nodes) < 400_000:
                 self.nodes[name] = found
@@ -129,21 +191,48 @@ class Pieces:
         found = known[left] = self.merged(left + right) == [left, right]
         return found
 
+    def _own(self, piece: str) -> bytes:
+        found = self.own.get(piece)
+        if found is None:
+            known = self.ids.get(piece)
+            found = array(self.code, [known] if known is not None else [self.byte_ids[b] for b in piece.encode()]).tobytes()
+            if len(self.own) < 400_000:
+                self.own[piece] = found
+        return found
+
+    def _back(self, word: str, last: list) -> bytes:
+        """The ids of a word, from its last piece back to its first."""
+        end, out = len(word), []
+        while end:
+            out.append(self._own(last[end]))
+            end -= len(last[end])
+        out.reverse()
+        return b"".join(out)
+
     def forward(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """(word, its ids as little-endian 16-bit integers) of sorted distinct words."""
-        before = ""
-        nodes, last, ids = [self.root], [""], [b""]  # of each prefix: node, last piece, ids
+        """(word, its ids as little-endian integers) of sorted distinct words."""
+        before, unigram = "", self.unigram
+        nodes, last, best = [self.root], [""], [0.0]  # of each prefix: node, last piece, forward score
         for word in words:
             n, shared = min(len(word), len(before)), 0
             while shared < n and word[shared] == before[shared]:
                 shared += 1
-            del nodes[shared + 1 :], last[shared + 1 :], ids[shared + 1 :]
+            del nodes[shared + 1 :], last[shared + 1 :], best[shared + 1 :]
             node, end = nodes[-1], shared
             for char in word[shared:]:
                 node = node[1].get(char) or self._grow(node, char)
                 nodes.append(node)
                 end += 1
-                for piece, size, known, own in node[0]:
+                if unigram:
+                    top, kept = None, None
+                    for piece, size, _, score in node[0]:
+                        total = best[end - size] + score
+                        if top is None or total > top:
+                            top, kept = total, piece
+                    last.append(kept)
+                    best.append(top)
+                    continue
+                for piece, size, known, _ in node[0]:
                     left = last[end - size]
                     if left is None:
                         continue
@@ -154,21 +243,12 @@ class Pieces:
                         if not apart:
                             continue
                     last.append(piece)
-                    ids.append(ids[end - size] + own)
                     break
                 else:
                     last.append(None)
-                    ids.append(b"")
-            yield word, ids[-1] if last[-1] is not None else self._whole(word)
+            yield word, self._back(word, last) if last[-1] is not None else b"".join(map(self._own, self.merged(word)))
             before = word
 
-    def _whole(self, word: str) -> bytes:
-        out: list[int] = []
-        for p in self.merged(word):
-            found = self.ids.get(p)
-            out += [found] if found is not None else [self.byte_ids[b] for b in p.encode()]
-        return array("H", out).tobytes()
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         split = [[m] if self.inside and m else self.word.findall(m) for m in marked]
@@ -179,12 +259,13 @@ class Pieces:
         fresh = seen.difference(cache)
         for w in fresh.intersection(old):
             cache[w] = old[w]
-        cache.update(self.forward(sorted(fresh.difference(old))))
-        get = cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        long = {}
+        for w, ids in self.forward(sorted(fresh.difference(old))):
+            (cache if len(w) <= LONGEST else long)[w] = ids
+        return [b"".join([cache.get(w) or long[w] for w in s]) if long else b"".join(map(cache.__getitem__, s)) for s in split]
 
     def decode(self, ids: bytes) -> str:
-        shown = b"".join(map(self.shown.__getitem__, np.frombuffer(ids, "<u2").tolist()))
+        shown = b"".join(map(self.shown.__getitem__, np.frombuffer(ids, self.dtype).tolist()))
         text = shown.decode("utf-8", errors="replace")
         return text[1:] if text.startswith(" ") else text
 
@@ -202,8 +283,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """ENCODED: the ids of each whole text and a check of what they decode to, one row per row of docs.
 
     No normalisation but the blank marks and the mark before the text, so decoding gives the text back (a mark that
-    stands in the text itself comes back as a blank; round_trip is then false). Null or empty text has no ids; a null
-    doc_id stays null; repeated rows stay; other columns are ignored; an empty table gives an empty result.
+    stands in the text itself comes back as a blank; round_trip is then false). Null or empty text has no ids; a text or
+    a word of any length is encoded whole, in memory linear in it; a null doc_id stays null; repeated rows stay; other
+    columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +296,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids = model.encode(texts)
                 back = [model.decode(x) for x in ids]
-                wide = [np.frombuffer(x, "<u2").astype("<i4") for x in ids]
+                wide = [np.frombuffer(x, model.dtype).astype("<i4") for x in ids]
                 ends = np.concatenate(([0], np.cumsum([len(w) for w in wide])))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(wide)))
                 yield pa.RecordBatch.from_arrays(
