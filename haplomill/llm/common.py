@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..storage import cut, drop_path, scratch_path, scratch_root  # noqa: F401
+from ..storage import cut, scratch_path, scratch_root  # noqa: F401
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 M64 = (1 << 64) - 1
@@ -26,13 +27,30 @@ def id_bounds(df: DataFrame, key: str, n: int) -> list[int]:
 
 
 def bucket_of(col, bounds: list[int]):
-    """Number of split points at or below col: 0 ... len(bounds); null goes to 0."""
+    """Number of split points at or below a long column: 0 ... len(bounds); null goes to 0. A binary search over Arrow
+    batches of the column alone, so neither the plan nor the cost of a row grows with the number of points."""
     if not bounds:
         return F.lit(0)
-    # width_bucket needs even steps; a sorted literal array searched natively does not
-    points = F.array(*[F.lit(int(b)) for b in bounds])
-    found = F.array_size(F.filter(points, lambda p: p <= col))
-    return F.coalesce(found, F.lit(0))
+    points = np.array(bounds, dtype=np.int64)
+
+    @F.arrow_udf("int")
+    def search(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(points, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right"), pa.int32())
+
+    return search(col)
+
+
+def place_of(col, keys: list[int], values: list[int]):
+    """The value that stands with the key equal to a long column, null where there is none; keys ascend."""
+    known, named = np.array(keys, dtype=np.int64), np.array(values, dtype=np.int32)
+
+    @F.arrow_udf("int")
+    def search(ids: pa.Array) -> pa.Array:
+        x = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        return pa.array(named[at], pa.int32(), mask=known[at] != x)
+
+    return search(col)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

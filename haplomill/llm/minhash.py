@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bucket_of, id_bounds, mix64, partitions, shingle_hashes, table, word_hashes
+from .common import bucket_of, id_bounds, mix64, partitions, place_of, shingle_hashes, table, word_hashes
 
 WORDS, PERMUTATIONS = 5, 128
 LEAST_ID = -(1 << 63)
@@ -59,9 +59,9 @@ def in_ranges(docs: DataFrame, shards: int) -> DataFrame:
     before = {r.first: firsts[i - 1]._bucket for i, r in enumerate(firsts)} if firsts else {}
     rows = rows.withColumn("_bucket", bucket_of(F.col("_key"), bounds))
     if before:
-        also = F.try_element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_key"))
-        places = F.filter(F.array(F.struct(F.col("_bucket").alias("to"), F.lit(0).alias("copy")), F.struct(also.alias("to"), F.lit(1).alias("copy"))), lambda x: x.to.isNotNull())
-        rows = rows.withColumn("_p", F.explode(places)).select(F.col("_p.to").alias("_bucket"), F.col("_p.copy").alias("_copy"), "_key", "doc_id", "text")
+        also = place_of(F.col("_key"), sorted(before), [before[k] for k in sorted(before)])
+        places = F.filter(F.array(F.struct(F.col("_bucket").alias("to"), F.lit(0).alias("copy")), F.struct(F.col("_also").alias("to"), F.lit(1).alias("copy"))), lambda x: x.to.isNotNull())
+        rows = rows.withColumn("_also", also).withColumn("_p", F.explode(places)).select(F.col("_p.to").alias("_bucket"), F.col("_p.copy").alias("_copy"), "_key", "doc_id", "text")
     else:
         rows = rows.select("_bucket", F.lit(0).alias("_copy"), "_key", "doc_id", "text")
     return rows.repartition(max(1, len(firsts)), "_bucket").sortWithinPartitions("_bucket", "_copy", "_key", F.col("doc_id").isNotNull(), "text").select("_bucket", "_copy", "doc_id", "text")
@@ -70,8 +70,8 @@ def in_ranges(docs: DataFrame, shards: int) -> DataFrame:
 def with_edits(docs: DataFrame, n: int = PERMUTATIONS, words: int = WORDS) -> DataFrame:
     """Fingerprints of each text and of its edited text (EDITED), one row per row of docs.
 
-    The edited text has its last half replaced by the beginning of the next document. Null text counts as empty; a
-    null doc_id sorts first; rows of one id are ordered by text; a lone document is its own next; other columns are
+    The edited text has its last half replaced by the beginning of the next document. Null text counts as empty; texts
+    of any length are read whole; a null doc_id sorts first; rows of one id are ordered by text; a lone document is its own next; other columns are
     ignored; an empty table gives an empty result. Texts without words are alike (1) and unlike all others (0).
     """
 

@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.components import connected_components
+from ..plans.components import connected_components, roots
 from .common import cut, partitions, shingle_hashes, word_hashes
 from .minhash import MinHash
-from .simhash import fingerprint, links, roots
+from .simhash import fingerprint, links
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 #: Groups of more distinct texts are compared in pairs of blocks of this size, each pair by a task of its own.
@@ -25,13 +25,13 @@ BLOCK = 4_000
 
 
 def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, node, fp, bands): node is a hash of the text, bands a hash of each band of its signature."""
+    """(doc_id, h1, h2, fp, bands): h1 and h2 are 128 bits of hash of the text, bands a hash of each band of its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHash(BANDS * ROWS, words)
         for b in batches:
             prints, bands = [], []
-            for x in b.column(2):
+            for x in b.column(3):
                 data = x.as_py() or b""
                 prints.append(fingerprint(data, words))
                 sig = hasher.signature(data).reshape(BANDS, ROWS).astype(np.uint64)
@@ -40,10 +40,18 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
                     h = (h ^ sig[:, i]) * np.uint64(0x9E3779B97F4A7C15) + (h >> np.uint64(29))
                 bands.append(h.view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(bands) if bands else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], ["doc_id", "node", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.array(prints, np.uint64).view(np.int64)), lists], ["doc_id", "h1", "h2", "fp", "bands"])
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text")).mapInArrow(run, "doc_id long, node long, fp long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_identity(), _text().cast("binary").alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, fp long, bands array<long>")
+
+
+def _text():
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _identity():
+    """128 bits that stand for a text; 64 would meet by chance among some 10**9 texts."""
+    return F.xxhash64(_text()).alias("h1"), F.xxhash64(F.lit("text"), _text()).alias("h2")
 
 
 def jaccard_forest(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -79,14 +87,18 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float = SIMILARITY) -> li
 
 
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component, keep) of every distinct text: keep is the smallest doc_id of the component.
+    """(h1, h2, least, component, keep) of every distinct text, named by 128 bits of hash: least is its smallest doc_id,
+    keep that of its component.
 
     Exact copies are one component, a null text counting as empty. Links are Jaccard similarities of at least
     `similarity` over the sets of word shingles; a shorter text is one shingle, a text without words links to none.
+    Texts of any length are compared whole; rows with a null doc_id take part, but give no keep while others do; other
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     prints = cut(_prints(docs, words), "prints")
-    nodes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    distinct = prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers hold once written
     # candidates: each text with the smallest of its band, or of its fingerprint; both linear in the rows
     banded = nodes.select("node", F.explode("bands").alias("key"))
     alike = nodes.select("node", F.col("fp").alias("key"))
@@ -102,8 +114,8 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     placed = groups.join(big, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     # block pairs (i, j), i <= j: a text goes to the pairs that its block takes part in
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    one = texts.join(nodes.select("node", "least").join(placed, "node"), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text"), *_identity())
+    one = texts.join(nodes.select("node", "h1", "h2", "least").join(placed, "node"), ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("least")))
     spread = one.select("component", F.explode(pairs).alias("p"), "own", "node", F.col("text").cast("binary").alias("text"))
     ordered = spread.select("component", "p.i", "p.j", "own", "node", "text").repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
 
@@ -133,19 +145,20 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
             yield out()
 
     final = connected_components(ordered.mapInArrow(verify, "a long, b long"))
-    rooted = nodes.select("node", "least").join(final.select("node", F.col("component").alias("c")), "node", "left").select("node", "least", F.coalesce("c", "node").alias("component"))
+    rooted = nodes.select("node", "h1", "h2", "least").join(final.select("node", F.col("component").alias("c")), "node", "left").select("h1", "h2", "least", F.coalesce("c", "node").alias("component"))
     low = rooted.groupBy("component").agg(F.min("least").alias("keep"))
-    return cut(rooted.join(low, "component").select("node", "component", "keep", "least"), "copies")
+    return cut(rooted.join(low, "component").select("h1", "h2", "least", "component", "keep"), "copies")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs without near copies: of each component the row with its smallest doc_id stays, unchanged.
 
-    Repeated rows of that doc_id and text leave one row. Null and empty texts are exact copies of one another. Rows with a null doc_id stay only where a component has no
-    other (one of them). Extra columns pass through; an empty table gives an empty result.
+    Repeated rows of that doc_id and text leave one row. Null and empty texts are exact copies of one another. Texts of
+    any length are compared whole. Rows with a null doc_id stay only where a component has no other (one of them). Other
+    columns pass through, whatever their names; an empty table gives an empty result.
     """
-    named = near_copies(docs, words, similarity).select("node", "keep").where("least <=> keep")
-    kept = docs.withColumn("_node", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).join(named, F.col("_node") == F.col("node")).where(F.col("doc_id").cast("long").eqNullSafe(F.col("keep")))
-    kept = cut(kept.select(*docs.columns, "node"), "kept")
-    twice = kept.groupBy("node").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["node"]) if twice else kept).select(*docs.columns)
+    named = near_copies(docs, words, similarity).where("least <=> keep").select("h1", "h2", "keep")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), *_identity())
+    kept = cut(whole.join(named, ["h1", "h2"]).where(F.col("id").eqNullSafe(F.col("keep"))).select("row", "h1", "h2"), "kept")
+    twice = kept.groupBy("h1", "h2").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["h1", "h2"]) if twice else kept).select("row.*")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.components import connected_components
+from ..plans.components import connected_components, roots
 from .common import cut, partitions, table
 
 SEED, RADIUS, WORDS = 42, 3, 3
@@ -127,24 +127,6 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the graph with edges a-b: each node that isn't the smallest of its component, and that smallest."""
-    nodes, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
-    i, j = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        for x in (i, j, before[i], before[j]):
-            np.minimum.at(label, x, low)
-        while not np.array_equal(label, label[label]):
-            label = label[label]
-        if np.array_equal(label, before):
-            break
-    other = label != np.arange(len(nodes))
-    return nodes[other], nodes[label[other]]
-
-
 def forest(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what distances of at most radius connect among distinct fingerprints.
 
@@ -228,9 +210,9 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of docs; the component is the smallest doc_id that links reach.
 
-    Fingerprints link at radius or fewer differing bits, an empty or null text having fingerprint zero. Rows with
-    a null doc_id keep it and take part in links, but name no component; repeated rows stay; other columns are
-    ignored; an empty table gives an empty result.
+    Fingerprints link at radius or fewer differing bits, an empty or null text having fingerprint zero. Texts of any
+    length are read whole. Rows with a null doc_id keep it and take part in links, but name no component; repeated rows
+    stay; other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     if radius > RADIUS:
         raise ValueError("the pigeonhole holds for 3 or fewer differing bits")
