@@ -35,8 +35,8 @@ ROW, TASKS = 2048, 1000
 #: At most so many labelled documents are fitted on, those with the smallest hashes of doc_id.
 SAMPLE = 12_000
 THRESHOLD = 0.3
-#: Words worked on at a time.
-CHUNK = 100_000
+#: Words, and texts, worked on at a time.
+CHUNK, TOGETHER = 100_000, 200
 
 
 def _classes() -> np.ndarray:
@@ -62,14 +62,23 @@ def word_ids(data: bytes) -> np.ndarray:
     return span_hashes(raw, starts[keep], ends[keep])
 
 
+def _stretches() -> np.ndarray:
+    """The entries that each byte of a hash draws: its two halves say where in a stretch the +1 or -1 stands."""
+    step = WIDTH // NONZERO
+    out = np.zeros((256, 2 * step), dtype=np.int8)
+    for half in range(2):
+        drawn = np.arange(256) >> 4 * half & 15
+        out[np.arange(256), step * half + drawn % step] = 1 - 2 * (drawn // step)
+    return out
+
+
+STRETCHES = _stretches()
+
+
 def drawn_vectors(words: np.ndarray) -> np.ndarray:
     """NONZERO entries of +1 or -1 for each hash, one in each stretch of WIDTH / NONZERO."""
-    out, step = np.zeros((len(words), WIDTH), dtype=np.int8), WIDTH // NONZERO
-    bits, rows = mix64(words ^ np.uint64(0x5851F42D4C957F2D)), np.arange(len(words))
-    for j in range(NONZERO):
-        drawn = (bits >> np.uint64(4 * j) & np.uint64(15)).astype(np.int64)
-        out[rows, step * j + drawn % step] = 1 - 2 * (drawn // step)
-    return out
+    drawn = mix64(words ^ np.uint64(0x5851F42D4C957F2D)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return STRETCHES[drawn[:, : NONZERO // 2]].reshape(-1, WIDTH)
 
 
 def index_vectors(n: int) -> np.ndarray:
@@ -85,7 +94,7 @@ def repeats(data: bytes) -> np.ndarray:
         own = drawn_vectors(words[at : at + CHUNK + REACH])
         for d in range(1, REACH + 1):
             both = own[: len(own) - d] * own[d:]
-            out[:-1] += both[:CHUNK].sum(axis=0, dtype=np.int64)
+            out[:-1] += both[:CHUNK].sum(axis=0, dtype=np.int32)
     return out
 
 
@@ -116,7 +125,7 @@ def _pieces(column: pa.Array, dtype: np.dtype, gap: int) -> Iterator[tuple[int,
     first = 0
     while first < len(sizes):
         last, n = first, 0
-        while last < len(sizes) and (last == first or n + sizes[last] <= CHUNK):
+        while last < len(sizes) and (last == first or n + sizes[last] <= CHUNK and last - first < TOGETHER):
             n += int(sizes[last]) + REACH
             last += 1
         ids = np.full(n, gap, dtype=np.int32)
@@ -136,6 +145,23 @@ def _near(own: np.ndarray) -> np.ndarray:
     return near
 
 
+def added(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums of the rows of each); rows are int8 between -4 and 4.
+
+    Eight entries are added at a time as bytes of a 64-bit integer, over at most 31 rows, so that no byte overflows.
+    """
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.concatenate((first, [len(keys)])))
+    runs = -(-sizes // 31)
+    starts = np.repeat(first, runs) + 31 * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
+    packed = (rows + np.int8(4)).view(np.uint64)[order]
+    some = np.add.reduceat(packed, starts, axis=0).view(np.uint8).astype(np.int32)
+    some -= 4 * np.diff(np.concatenate((starts, [len(keys)]))).astype(np.int32)[:, None]
+    return keys[first], np.add.reduceat(some, np.cumsum(runs) - runs, axis=0)
+
+
 def word_vectors(texts: DataFrame, path: str) -> np.ndarray:
     """Vectors of all words over all texts (column ids), one row a word: unit context vector plus half the unit index vector, in steps."""
     n, dtype = _size(path), encoder(path).dtype
@@ -150,13 +176,9 @@ def word_vectors(texts: DataFrame, path: str) -> np.ndarray:
                 for at in range(0, len(ids), CHUNK):
                     lead, m = min(at, REACH), min(CHUNK, len(ids) - at)
                     near = _near(index[ids[at - lead : at + m + REACH]])[lead : lead + m]
-                    part = ids[at : at + m]
-                    order = np.argsort(part.astype(np.uint16) if n < 1 << 16 else part, kind="stable")
-                    part = part[order]
-                    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                    found, added = part[starts], np.add.reduceat(near[order], starts, axis=0, dtype=np.int32)
+                    found, some = added(np.ascontiguousarray(near), ids[at : at + m].astype(np.uint16 if n < 1 << 16 else np.int32))
                     real = found < n
-                    total[found[real]] += added[real]
+                    total[found[real]] += some[real]
         some = [i for i in range(rows) if total[i * ROW : (i + 1) * ROW].any()]
         group = TaskContext.get().partitionId() // TASKS
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([group] * len(some), pa.int32()), pa.array([_narrow(total[i * ROW : (i + 1) * ROW]) for i in some], pa.binary())], ["block", "tasks", "sums"])
@@ -182,16 +204,20 @@ def in_steps(context: np.ndarray, index: np.ndarray) -> np.ndarray:
 
 
 def pooled(column: pa.Array, again: pa.Array, vectors: np.ndarray, dtype: np.dtype) -> np.ndarray:
-    """Features of each text: mean word vector, and mean products of near words (zeros without words)."""
+    """Features of each text: mean word vector, and mean products of near words (zeros without words).
+
+    Texts that are worked on together are one product of their word counts and the vectors of the words they hold; all
+    sums are whole numbers that doubles hold exactly.
+    """
     n, out = len(vectors), np.zeros((len(column), 2 * WIDTH))
-    padded = np.concatenate((vectors, np.zeros((1, WIDTH), np.int16)))
+    place = np.zeros(n + 1, dtype=np.int64)
     for first, rows, ids, starts in _pieces(column, dtype, n):
-        total = np.zeros((rows, WIDTH), dtype=np.int64)
-        for at in range(0, len(ids), CHUNK + REACH * rows):  # more than once for a long text alone
-            part = ids[at : at + CHUNK + REACH * rows]
-            total += np.add.reduceat(padded[part], np.zeros(1, np.int64) if rows == 1 else starts, axis=0, dtype=np.int64)
-        size = np.maximum(np.diff(np.concatenate((starts, [len(ids)]))) - REACH, 1)[:, None]
-        out[first : first + rows, :WIDTH] = total / (STEPS * size)
+        sizes = np.diff(np.concatenate((starts, [len(ids)])))
+        held = np.flatnonzero(np.bincount(ids, minlength=n + 1)[:n])
+        place[:], place[held] = len(held), np.arange(len(held))
+        key = np.repeat(np.arange(rows), sizes) * (len(held) + 1) + place[ids]
+        counts = np.bincount(key, minlength=rows * (len(held) + 1)).reshape(rows, -1)[:, :-1].astype(np.float64)
+        out[first : first + rows, :WIDTH] = counts @ vectors[held].astype(np.float64) / (STEPS * np.maximum(sizes - REACH, 1))[:, None]
     near = np.frombuffer(b"".join(again.to_pylist()), "<i8").reshape(-1, WIDTH + 1)
     out[:, WIDTH:] = near[:, :-1] / np.maximum(near[:, -1:], 1)
     return out

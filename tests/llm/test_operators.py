@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from haplomill.llm import ann, chat_format, line_dedup, minhash, near_copies, packing, pieces, quality, simhash, sstable, url_filter
-from haplomill.llm.common import scratch_path
+from haplomill.llm.common import cut, scratch_path
 from haplomill.llm.tokens import vocabulary
+from haplomill.plans.components import roots
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, n long"
 LONG = " ".join(f"w{i % 977}x" for i in range(40_000))
@@ -159,6 +160,11 @@ def test_lines(spark, none):
     for limit in (1000, 0):
         got = {r.doc_id: r for r in line_dedup.drop_lines(docs, ratio=0.3, broadcast_lines=limit).collect()}
         assert got[0].text == "line 0\n" and got[0].n_dropped == 1 and got[9].text is None and got[10].text == "footer" and got[None].text == "" and got[0].h == 1
+    clash = docs.withColumns({c: F.lit("own") for c in ("_host", "_bad", "_own", "_kept", "row", "host", "n_lines", "n_dropped", "a b")})
+    for limit in (1000, 0):
+        got = line_dedup.cleaned(clash, ratio=0.3, broadcast_lines=limit)
+        assert got.columns == clash.columns and {r._bad + r.n_lines + r["a b"] for r in got.collect()} == {"ownownown"}
+        assert {r.n_dropped for r in line_dedup.drop_lines(clash, ratio=0.3, broadcast_lines=limit).collect()} == {0, 1, 2}
     assert line_dedup.drop_lines(none).count() == 0
 
 
@@ -180,6 +186,24 @@ def test_urls(spark):
     assert got == [(0, "example.org/es/", "block"), (1, "example.org/en/1", "block"), (2, None, "allow"), (3, None, "allow"), (4, "org/", "allow"), (5, "com/fr/", "allow"), (6, None, "allow"), (7, None, "allow"), (8, "com/de/", "block"), (8, "com/de/", "block")]
 
 
+def test_url_prefixes_that_meet_by_chance(spark):
+    """Two rules with equal 4-byte prefixes of their digests: a URL of one is no match of the other."""
+    seen, pair = {}, None
+    for i in range(400_000):
+        short = hashlib.sha256(f"h{i}.com\n/".encode()).digest()[:4]
+        if short in seen:
+            pair = seen[short], i
+            break
+        seen[short] = i
+    a, b = (f"h{i}.com" for i in pair)
+    pages = spark.createDataFrame([(0, f"http://{a}/x"), (1, f"http://{b}/x"), (2, f"http://www.{b}/")], "page_id long, url string")
+    for rules, want in (([(a, "/", "block")], ["block", "allow", "allow"]), ([(a, "/", "block"), (b, "/", "allow"), (b, "/x", "block")], ["block", "block", "allow"])):
+        got = url_filter.filter_urls(pages, url_filter.rules_frame(spark, rules))
+        assert [r.verdict for r in got.orderBy("page_id").collect()] == want
+    assert [r.verdict for r in url_filter.filter_urls(pages.limit(1).selectExpr("page_id", "cast(null as string) url"), url_filter.rules_frame(spark, [("", "", "block")])).collect()] == ["block"]
+    assert url_filter.filter_urls(pages.limit(0), url_filter.rules_frame(spark, url_filter.RULES)).count() == 0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     v = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(i, [1.0] * 8) for i in range(300, 340)]
@@ -197,6 +221,24 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_equal_queries(spark):
+    """A third of all rows, and of the queries, are copies of one vector."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 8))
+    x[::3] = x[0]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>"), every=10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    y = x.astype(np.float32).astype(float)
+    copies = list(range(0, 300, 3))
+    for q, found in got.items():
+        assert len(found) == 10 and [r for r, _, _ in sorted(found)] == list(range(1, 11))
+        assert all(s == np.sqrt(((y[i] - y[q]) ** 2).sum()) for _, i, s in found)
+        if q % 3 == 0:
+            assert [i for _, i, _ in sorted(found)] == [i for i in copies if i != q][:10]
+    assert len(got) == 30
+
+
 def test_nearest_on_a_table_above_the_sample(spark):
     x = np.random.default_rng(3).normal(size=(20_000, 64))
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
@@ -211,6 +253,53 @@ def test_nearest_on_a_table_above_the_sample(spark):
     assert len(got) == 50 and hit / 500 >= 0.9
 
 
+def test_fingerprints_equal_brute_force(spark):
+    """op2 and op8 over the smallest tables: every text, against plain Python."""
+    import xxhash
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    order = sorted(docs)
+    rows = {r.doc_id: r for r in minhash.op2_minhash(spark, "/root/testdata/sf0.001").collect()}
+    assert sorted(rows) == order
+    words = lambda t: {tuple(t.encode().split()[i : i + 5]) for i in range(max(1, len(t.encode().split()) - 4))} if t.split() else set()
+    wrong = []
+    for i, d in enumerate(order):
+        t, following = docs[d], docs[order[(i + 1) % len(order)]]
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        assert rows[d].n_chars == len(t) and rows[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = words(t), words(edited)
+        wrong.append(abs(rows[d].near_edited - (len(a & b) / len(a | b) if a | b else 1.0)))
+        assert (docs[d] != following) or rows[d].near_next == 1.0
+    assert np.mean(wrong) < 0.05 and max(wrong) < 0.25
+    prints, near = {}, {}
+    for d, t in docs.items():
+        parts = [w for w in t.encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split() if w]
+        k = min(3, len(parts))
+        h = [xxhash.xxh64_intdigest(b" ".join(parts[i : i + k]), 42) for i in range(len(parts) - k + 1)] if parts else []
+        prints[d] = sum(1 << bit for bit in range(64) if 2 * sum(x >> bit & 1 for x in h) > len(h))
+    for d in order:  # components by repeated search
+        if d in near:
+            continue
+        todo, near[d] = [d], d
+        while todo:
+            x = todo.pop()
+            for y in order:
+                if y not in near and bin(prints[x] ^ prints[y]).count("1") <= 3:
+                    near[y] = d
+                    todo.append(y)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op8_simhash(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {d: (f"{prints[d]:016x}", near[d]) for d in order}
+
+
+def test_quality_on_held_out_rows(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    got = quality.op10_quality(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in got)
+    known = [r.predicted == labels[r.doc_id] for r in got if r.held_out and labels.get(r.doc_id) is not None]
+    assert len(known) > 50 and np.mean(known) >= 0.95
+
+
 def test_simhash(spark, docs, none):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(ROWS) and {r.component_id for r in got if r.doc_id in (1, 4)} == {1} and {r.component_id for r in got if r.doc_id in (2, 3)} == {2}
@@ -232,7 +321,7 @@ def test_forest_connects():
     base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
     prints = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 20, dtype=np.uint64)) for _ in range(6)]))
     a, b = simhash.forest(prints)
-    node, root = simhash.roots(a, b)
+    node, root = roots(a, b)
     found = {int(n): int(r) for n, r in zip(node, root)}
     for i in range(len(prints)):
         for j in range(i):
@@ -244,6 +333,9 @@ def test_near_copies(spark, docs, none):
     kept = near_copies.keep_one(docs).collect()
     assert sorted((r.doc_id for r in kept), key=lambda x: x or 0) == [None, 1, 2, 5, 6]
     assert near_copies.keep_one(none).count() == 0
+    clash = docs.withColumns({c: F.lit("own") for c in ("node", "_node", "keep", "least", "h1", "h2", "row", "id", "component", "fp", "a b")})
+    got = near_copies.keep_one(clash)
+    assert got.columns == clash.columns and sorted((r.doc_id, r.keep + r.node) for r in got.collect() if r.doc_id) == [(i, "ownown") for i in (1, 2, 5, 6)]
 
 
 def test_pieces(spark, docs, none):
@@ -366,7 +458,7 @@ def test_pipeline_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {}
     for name, stage in pipeline.STAGES:
-        got[name] = docs = pipeline.cut(stage(spark, docs, sf_dir), "stage")
+        got[name] = docs = cut(stage(spark, docs, sf_dir), "stage")
     clean, lines, alone = ({r.doc_id: r for r in got[n].collect()} for n in [n for n, _ in pipeline.STAGES][:3])
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     known = [(i in clean, q) for i, q in labels.items() if q is not None]
@@ -381,3 +473,16 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert {i: r.text for i, r in lines.items()} == want
     assert sorted(alone) == smallest_of_copies([(i, r.text) for i, r in lines.items()])
     assert {r.doc_id for r in got["packing"].select("doc_id").distinct().collect()} == set(alone)
+    whole = pipeline.run(spark, sf_dir)
+    assert sorted(r[:8] for r in whole.drop("ids").collect()) == sorted(r[:8] for r in got["packing"].drop("ids").collect())
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, none):
+    import corpus_pipeline as pipeline
+
+    clash = docs.withColumns({c: F.lit("own") for c in ("_id", "_y", "node", "keep", "_bad", "_host", "n_lines", "row", "a b")})
+    for name, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, clash, "/root/testdata/sf0.001")
+        assert kept.columns == clash.columns and {r.node + r.keep + r._id for r in kept.collect()} <= {"ownownown"}, name
+        assert stage(spark, none, "/root/testdata/sf0.001").count() == 0
+    assert pipeline.STAGES[-1][1](spark, clash, "").agg(F.sum("length")).first()[0] > 40_000
