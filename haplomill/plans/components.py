@@ -53,7 +53,7 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) for every node with an edge; the component is its smallest node.
 
-    First each task contracts the edges it holds to stars around their smallest nodes. Then each round points larger
+    First edges are dealt out and each task contracts its own to stars around their smallest nodes. Then each round points larger
     neighbours at the smallest one (large star), and does the same for the smaller ones (small star); the number of
     rounds grows with the logarithm of the graph, and a graph that isn't done after `rounds` raises an error. Minima are
     combined before the shuffle and joined back, so a node with very many edges is split by the adaptive skew join, and
@@ -62,7 +62,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     spark = edges.sparkSession
     u, v = F.col(a).cast("long"), F.col(b).cast("long")
     now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v AND u IS NOT NULL AND v IS NOT NULL")
-    now = now.mapInArrow(_contracted, "u long, v long").distinct()
+    now = now.distinct().mapInArrow(_contracted, "u long, v long")  # behind a shuffle, so that no task runs two Python workers
     last = path = None
     for _ in range(rounds):
         seen, before = Observation(), path
