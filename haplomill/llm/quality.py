@@ -105,18 +105,17 @@ def _size(path: str) -> int:
 def tokenised(docs: DataFrame, keep: tuple[str, ...], path: str) -> DataFrame:
     """(row struct of the columns keep, id, ids, repeats) of each row of docs; ids as little-endian integers, none for a null text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = part.column(2).to_pylist()
-                again = [repeats((t or "").encode()).astype("<i8").tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(enc.encode(texts), pa.binary()), pa.array(again, pa.binary())], ["row", "id", "ids", "repeats"])
+    @F.arrow_udf("ids binary, repeats binary")
+    def encoded(texts: pa.Array) -> pa.Array:  # only the text goes to Python; the row waits for the result
+        enc, ids, again = encoder(path), [], []
+        for at in range(0, len(texts), 256):
+            some = texts.slice(at, 256).to_pylist()
+            ids += enc.encode(some)
+            again += [repeats((t or "").encode()).astype("<i4").tobytes() for t in some]
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(again, pa.binary())], ["ids", "repeats"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    schema = rows.select("row", "id", F.lit(b"").alias("ids"), F.lit(b"").alias("repeats")).schema
-    return cut(rows.mapInArrow(run, schema), "ids")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id").cast("long").alias("id"), encoded(F.col("text").cast("string")).alias("x"))
+    return cut(rows.select("row", "id", "x.ids", "x.repeats"), "ids")
 
 
 def _pieces(column: pa.Array, dtype: np.dtype, gap: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -218,7 +217,7 @@ def pooled(column: pa.Array, again: pa.Array, vectors: np.ndarray, dtype: np.dty
         key = np.repeat(np.arange(rows), sizes) * (len(held) + 1) + place[ids]
         counts = np.bincount(key, minlength=rows * (len(held) + 1)).reshape(rows, -1)[:, :-1].astype(np.float64)
         out[first : first + rows, :WIDTH] = counts @ vectors[held].astype(np.float64) / (STEPS * np.maximum(sizes - REACH, 1))[:, None]
-    near = np.frombuffer(b"".join(again.to_pylist()), "<i8").reshape(-1, WIDTH + 1)
+    near = np.frombuffer(b"".join(again.to_pylist()), "<i4").reshape(-1, WIDTH + 1)
     out[:, WIDTH:] = near[:, :-1] / np.maximum(near[:, -1:], 1)
     return out
 
@@ -325,6 +324,88 @@ def learn(texts: DataFrame, labels: DataFrame, vectors: np.ndarray, path: str, s
     return fit(x, np.array([r.y for r in rows], dtype=np.float64))
 
 
+def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], path: str | None = None, sample: int = SAMPLE) -> DataFrame:
+    """(row struct of the columns keep, score double) of each row of docs, in one pass over its encoded texts."""
+    path = path or vocabulary()
+    texts = tokenised(docs, keep, path)
+    vectors = word_vectors(texts, path)
+    model, dtype = learn(texts, labels, vectors, path, sample), encoder(path).dtype
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, model))
+
+    @F.arrow_udf("double")
+    def judged(ids: pa.Array, again: pa.Array) -> pa.Array:
+        table_, fitted = shared.value
+        return pa.array(np.round(fitted.score(pooled(ids, again, table_, dtype)), 9), pa.float64())
+
+    return texts.select("row", judged("ids", "repeats").alias("score"))
+
+
+def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
+
+
+def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 120, rate: float = 0.01, decay: float = 1e-3) -> Model:
+    """Adam over shuffled batches with a fixed seed; every fifth row only calibrates the temperature."""
+    x = x.astype(np.float64)
+    model = Model(x.mean(axis=0) if len(x) else np.zeros(2 * WIDTH), x.std(axis=0) + 1e-6 if len(x) else np.ones(2 * WIDTH), prior=float(y.mean()) if len(y) else 0.5)
+    if len(y) < 10 or y.min() == y.max():
+        return model
+    aside = np.arange(len(y)) % 5 == 4
+    z, t = (x[~aside] - model.mean) / model.scale, y[~aside]
+    drawn = np.random.default_rng(5)
+    p = [drawn.normal(0, z.shape[1] ** -0.5, (z.shape[1], hidden)), np.zeros(hidden), drawn.normal(0, hidden**-0.5, hidden), np.zeros(1)]
+    m, v, step = [np.zeros_like(w) for w in p], [np.zeros_like(w) for w in p], 0
+    for _ in range(epochs):
+        order = drawn.permutation(len(t))
+        for at in range(0, len(t), 256):
+            i = order[at : at + 256]
+            a = np.tanh(z[i] @ p[0] + p[1])
+            error = (1 / (1 + np.exp(-np.clip(a @ p[2] + p[3], -40, 40))) - t[i]) / len(i)
+            back = error[:, None] * p[2] * (1 - a * a)
+            slopes = [z[i].T @ back + decay * p[0], back.sum(axis=0), a.T @ error + decay * p[2], np.array([error.sum()])]
+            step += 1
+            for k, g in enumerate(slopes):
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.999 * v[k] + 0.001 * g * g
+                p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    model.layers = p
+    raw, truth = model.logits(x[aside]), y[aside]
+    losses = {}
+    for temperature in np.exp(np.linspace(np.log(0.5), np.log(8), 60)):
+        q = np.clip(1 / (1 + np.exp(-np.clip(raw / temperature, -40, 40))), 1e-9, 1 - 1e-9)
+        losses[float(temperature)] = -float(np.mean(truth * np.log(q) + (1 - truth) * np.log(1 - q)))
+    model.temperature = min(losses, key=losses.get)
+    return model
+
+
+def held_out(doc_id):
+    return F.crc32(doc_id.cast("string")) % 5 == 0
+
+
+def learn(texts: DataFrame, labels: DataFrame, vectors: np.ndarray, path: str, sample: int = SAMPLE) -> Model:
+    """A model fitted on at most `sample` labelled rows that aren't held out; texts has id and ids.
+
+    Labels without id or quality are ignored; several labels of a document give its mean, from 0.5 on good; of several
+    rows of a document the one with the smallest hash of its text counts. Without two classes of labels every score is
+    the share of good labels (0.5 without any). Other columns of labels are ignored.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("id")))
+    known = known.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).join(texts.select("id").distinct(), "id", "left_semi")
+    known = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # the documented bound
+    taken = texts.select("id", "ids", "repeats").join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("ids").alias("h"), F.col("ids"), F.col("repeats"))).alias("x"))
+    dtype = encoder(path).dtype
+    shared = texts.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = pooled(b.column(2), b.column(3), shared.value, dtype)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "y", "x"])
+
+    rows = taken.select("id", "y", "x.ids", "x.repeats").mapInArrow(run, "id long, y int, x binary").orderBy(F.xxhash64("id"), "id").collect()  # at most `sample` rows of 1 KB
+    x = np.array([np.frombuffer(bytes(r.x)) for r in rows]).reshape(len(rows), 2 * WIDTH)
+    return fit(x, np.array([r.y for r in rows], dtype=np.float64))
+
+
 def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], path: str | None = None, sample: int = SAMPLE) -> DataFrame:
     """(row struct of the columns keep, score double) of each row of docs, in one pass over its encoded texts."""
     path = path or vocabulary()

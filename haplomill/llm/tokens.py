@@ -121,7 +121,7 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         ids = self.cache.get(piece) or self.old.get(piece) or self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= self.size:
+            if len(self.pieces) >= self.size // 4:
                 self.pieces.clear()
             ids = self.pieces[piece] = self._merge(piece)
         return ids

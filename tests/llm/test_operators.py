@@ -394,7 +394,7 @@ def test_features_equal_brute_force(spark, monkeypatch):
     vectors = quality.word_vectors(found, vocabulary())
     assert (vectors == quality.in_steps(context, index[:-1])).all() and context.any()
     order = sorted(ids)
-    got = quality.pooled(pa.array([np.array(ids[i], dtype).tobytes() for i in order], pa.binary()), pa.array([quality.repeats((texts[i] or "").encode()).astype("<i8").tobytes() for i in order], pa.binary()), vectors, dtype)
+    got = quality.pooled(pa.array([np.array(ids[i], dtype).tobytes() for i in order], pa.binary()), pa.array([quality.repeats((texts[i] or "").encode()).astype("<i4").tobytes() for i in order], pa.binary()), vectors, dtype)
     for i, x in zip(order, got):
         words = quality.drawn_vectors(quality.word_ids((texts[i] or "").encode())).astype(int)
         mean = vectors[ids[i]].astype(int).sum(axis=0) / quality.STEPS / max(len(ids[i]), 1)
