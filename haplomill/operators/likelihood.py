@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.phred import log_diff, log_err, log_ok, log_sum
 
@@ -35,6 +35,19 @@ def read_tags(calls: DataFrame, hap, least: float = 0.95) -> DataFrame:
     return f.where(F.pow(F.lit(10.0), top - F.col("ll")) >= least).select("frag", F.when(F.col("p0") > F.col("p1"), 0).otherwise(1).alias("hp"), F.floor(F.round(10 * (F.col("ll") - low), 6)).cast("long").alias("pq"))
 
 
+def fragment_tags(calls: DataFrame, phased: DataFrame, least: float = 0.95, min_qv: int = 6) -> DataFrame:
+    """frag, ps, hp, pq of the fragments that belong to one copy with a posterior of at least `least`.
+
+    phased: snp, comp, hap, first_pos; ps is the position at which the block of a fragment's first usable call begins.
+    """
+    j = calls.where(F.col("qv") >= min_qv).join(phased.where("hap IS NOT NULL").select("snp", "hap", "first_pos"), "snp")
+    match = F.col("allele") == F.col("hap")
+    f = j.groupBy("frag").agg(F.sum(F.when(match, log_ok()).otherwise(log_err())).alias("p0"), F.sum(F.when(match, log_err()).otherwise(log_ok())).alias("p1"), F.min_by("first_pos", "snp").alias("ps"))
+    f = f.withColumn("ll", log_sum(F.col("p0"), F.col("p1")))
+    sure = F.pow(F.lit(10.0), F.greatest("p0", "p1") - F.col("ll")) >= least
+    return f.where(sure).select("frag", "ps", F.when(F.col("p0") > F.col("p1"), 0).otherwise(1).alias("hp"), F.floor(F.round(10 * (F.col("ll") - F.least("p0", "p1")), 6)).cast("long").alias("pq"))
+
+
 def variant_posterior(calls: DataFrame, hap, threshold: float = 0.8) -> DataFrame:
     """One-shot form: log posterior of each variant's phase and of its flip, given all others as in hap."""
     t = terms(calls, hap)
@@ -48,14 +61,22 @@ def variant_posterior(calls: DataFrame, hap, threshold: float = 0.8) -> DataFram
 
 
 def switch_posterior(calls: DataFrame, hap, comp) -> DataFrame:
-    """Log posterior of a switch before each variant; only fragments that span it count."""
+    """Log posterior of a switch before each variant; only fragments that span it count.
+
+    Between two neighbouring calls of a fragment every switch means the same to it. So each such stretch adds its terms at
+    its beginning and takes them off at its end, summed per variant, and running sums along a component give the totals:
+    rows are as many as calls, however many variants a fragment spans.
+    """
     t = terms(calls, hap).withColumn("comp", comp)
-    f = t.groupBy("frag", "comp").agg(F.array_sort(F.collect_list(F.struct("snp", "t0", "t1"))).alias("c"), F.min("snp").alias("lo"), F.max("snp").alias("hi"), F.sum("t0").alias("p0"), F.sum("t1").alias("p1"))
-    spots = t.groupBy("comp").agg(F.array_sort(F.collect_set("snp")).alias("spots"))
-    at = f.join(spots, "comp").withColumn("i", F.explode(F.filter("spots", lambda i: (i > F.col("lo")) & (i <= F.col("hi")))))
-    gain = F.aggregate(F.filter("c", lambda x: x.snp >= F.col("i")), F.lit(0.0), lambda s, x: s + x.t1 - x.t0)
-    d = at.select("comp", "i", "p0", "p1", gain.alias("d"))
-    s = d.groupBy("comp", F.col("i").alias("snp")).agg(F.sum(log_sum(F.col("p0"), F.col("p1"))).alias("a"), F.sum(log_sum(F.col("p0") + F.col("d"), F.col("p1") - F.col("d"))).alias("b"))
+    w = Window.partitionBy("frag", "comp").orderBy("snp")
+    whole = Window.partitionBy("frag", "comp")
+    late = F.sum(F.col("t1") - F.col("t0")).over(Window.partitionBy("frag", "comp").orderBy(F.desc("snp")).rowsBetween(Window.unboundedPreceding, 0))
+    c = t.select("comp", "snp", F.lag("snp").over(w).alias("before"), late.alias("d"), F.sum("t0").over(whole).alias("p0"), F.sum("t1").over(whole).alias("p1"))
+    gap = c.where("before IS NOT NULL").select("comp", "snp", "before", log_sum(F.col("p0"), F.col("p1")).alias("x"), log_sum(F.col("p0") + F.col("d"), F.col("p1") - F.col("d")).alias("y"))
+    ends = F.array(F.struct(F.col("before").alias("at"), F.col("x").alias("x"), F.col("y").alias("y"), F.lit(1).alias("n")), F.struct(F.col("snp").alias("at"), (-F.col("x")).alias("x"), (-F.col("y")).alias("y"), F.lit(-1).alias("n")))
+    deltas = gap.select("comp", F.explode(ends).alias("e")).groupBy("comp", F.col("e.at").alias("snp")).agg(F.sum("e.x").alias("x"), F.sum("e.y").alias("y"), F.sum("e.n").alias("n"))
+    before = Window.partitionBy("comp").orderBy("snp").rowsBetween(Window.unboundedPreceding, -1)
+    s = deltas.select("comp", "snp", F.sum("x").over(before).alias("a"), F.sum("y").over(before).alias("b"), F.sum("n").over(before).alias("n")).where("n > 0")
     return s.select("comp", "snp", (F.round(F.col("b") - log_sum(F.col("a"), F.col("b")), 4) + 0.0).alias("post_switch"))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .phase import Component
+from .phase import Component, of_rows
 
 GENOTYPES = ["0/0", "0/1", "1/1", "0|1", "1|0"]
 # log10 priors of the five genotypes, and what is then added to them.
@@ -23,7 +23,7 @@ GENOTYPED = "comp long, snp long, hap int, genotype string, posterior double"
 
 
 class State:
-    """Fragment sums under a haplotype whose unphased variants (-1) add nothing."""
+    """Fragment sums under a haplotype whose unphased variants (-1) add nothing; mates count as uncrossed."""
 
     def __init__(self, c: Component, hap):
         self.c, self.hap = c, np.asarray(hap, dtype=np.int8).copy()
@@ -55,17 +55,66 @@ def _total(x) -> float:
 
 def sequential_posteriors(c: Component, hap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(haplotype, log10 posterior, flipped): in order, a variant flips where the flip has more than half the posterior."""
-    s, post, flipped = State(c, hap), np.zeros(c.n), np.zeros(c.n, dtype=bool)
-    for i in range(c.n):
-        _, b0, b1, t0, t1 = s.without(i)
-        both = [c.ll(b0 + t0, b1 + t1).sum(), c.ll(b0 + t1, b1 + t0).sum()]
-        now, flip = (both[s.hap[i]], both[1 - s.hap[i]])
+    hap = np.asarray(hap, dtype=np.int8).copy()
+    post, flipped = np.zeros(c.n), np.zeros(c.n, dtype=bool)
+    p, q = c.all_sums(hap)
+    for i, rows in enumerate(c.rows_of):
+        t, f = c.terms(hap, rows), c.f[rows]
+        moved = [p[0][f] - t[0] + t[1], p[1][f] - t[1] + t[0]]
+        u = c.crossed(*t, rows) if c.second is not None else t
+        crossed = [q[0][f] - u[0] + u[1], q[1][f] - u[1] + u[0]]
+        now, flip = c.mixture([x[f] for x in p], [x[f] for x in q], f).sum(), c.mixture(moved, crossed, f).sum()
         total = _total([now, flip])
         flipped[i] = flip - total > HALF
-        post[i] = max(now, flip) - total if flipped[i] else now - total
+        post[i] = (flip if flipped[i] else now) - total
         if flipped[i]:
+            hap[i] ^= 1
+            for k in (0, 1):
+                p[k][f], q[k][f] = moved[k], crossed[k]
+    return hap, post, flipped
+
+
+def homozygous_posteriors(c: Component, hap, priors) -> tuple[np.ndarray, np.ndarray, list]:
+    """(haplotype, log10 posterior, '00', '11' or None): as above with four choices, equal alleles having the prior (log10)
+    of each variant; the first of 00, 11 and the flip with more than half the posterior is taken."""
+    s, post, equal = State(c, hap), np.zeros(c.n), [None] * c.n
+    for i in range(c.n):
+        _, b0, b1, t0, t1 = s.without(i)
+        both = [c.ll(b0 + t0, b1 + t1).sum(), c.ll(b0 + t1, b1 + t0).sum()]
+        prior = float(priors[i])
+        het = np.log10(max(0.5 - 10.0**prior, 1e-300))
+        x = [het + both[s.hap[i]], het + both[1 - s.hap[i]], prior + c.ll(b0 + t0, b1 + t0).sum(), prior + c.ll(b0 + t1, b1 + t1).sum()]
+        y = np.array(x) - _total(x)
+        take = next((k for k in (2, 3, 1) if y[k] > HALF), 0)
+        post[i] = y[take]
+        if take == 1:
             s.set(i, 1 - int(s.hap[i]))
-    return s.hap, post, flipped
+        elif take > 1:
+            equal[i] = "00" if take == 2 else "11"
+    return s.hap, post, equal
+
+
+def hypothetical_ll(c: Component, hap, equal: int | None = None, switch: int | None = None, without: int | None = None) -> np.ndarray:
+    """Log-likelihood of each fragment with one variant's alleles equal on both copies, with a switch before a variant, or
+    with a variant left out; variants by their place in the component. Mates count as uncrossed."""
+    hap = np.asarray(hap, dtype=np.int8).copy()
+    if switch is not None:
+        hap[switch:] ^= 1
+    t0, t1 = c.terms(hap)
+    if equal is not None:
+        t1 = np.where(c.v == equal, t0, t1)
+    if without is not None:
+        t0, t1 = t0 * (c.v != without), t1 * (c.v != without)
+    return c.ll(np.bincount(c.f, t0, c.m), np.bincount(c.f, t1, c.m))
+
+
+def switch_posteriors(c: Component, hap) -> np.ndarray:
+    """Log10 posterior of no switch before each variant (0 before the first): with it against without it, over all fragments."""
+    out = np.zeros(c.n)
+    now = hypothetical_ll(c, hap).sum()
+    for i in range(1, c.n):
+        out[i] = now - _total([now, hypothetical_ll(c, hap, switch=i).sum()])
+    return out
 
 
 def scores(s: State, i: int) -> np.ndarray:
@@ -103,8 +152,7 @@ def local_genotypes(c: Component, hap) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _component(pdf: pd.DataFrame) -> tuple[Component, np.ndarray]:
-    c = Component(pdf.frag.to_numpy(), pdf.snp.to_numpy(), pdf.allele.to_numpy(), pdf.qv.to_numpy())
-    return c, pdf.groupby("snp").hap.first().to_numpy()
+    return of_rows(pdf), pdf.groupby("snp").hap.first().to_numpy()
 
 
 def refine(calls: DataFrame, phased: DataFrame) -> DataFrame:
@@ -115,7 +163,33 @@ def refine(calls: DataFrame, phased: DataFrame) -> DataFrame:
         hap, post, flipped = sequential_posteriors(c, hap)
         return pd.DataFrame({"comp": pdf.comp.iloc[0], "snp": c.snps, "hap": hap.astype(np.int32), "post_hap": post, "flipped": flipped})
 
-    return calls.select("frag", "snp", "allele", "qv").join(phased.select("comp", "snp", "hap"), "snp").groupBy("comp").applyInPandas(run, REFINED)
+    return _rows(calls).join(phased.select("comp", "snp", "hap"), "snp").groupBy("comp").applyInPandas(run, REFINED)
+
+
+def _rows(calls: DataFrame) -> DataFrame:
+    return calls.select("frag", "snp", "allele", "qv", *[c for c in ("mate2_ix", "h") if c in calls.columns])
+
+
+def call_homozygous(calls: DataFrame, phased: DataFrame, priors: DataFrame) -> DataFrame:
+    """comp, snp, hap, post_hap, homozygous: as refine, with equal alleles as choices; priors: snp, homozygous_prior (log10)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, hap = _component(pdf)
+        hap, post, equal = homozygous_posteriors(c, hap, pdf.groupby("snp").homozygous_prior.first().to_numpy())
+        return pd.DataFrame({"comp": pdf.comp.iloc[0], "snp": c.snps, "hap": hap.astype(np.int32), "post_hap": post, "homozygous": equal})
+
+    rows = _rows(calls).join(phased.select("comp", "snp", "hap"), "snp").join(priors.select("snp", "homozygous_prior"), "snp")
+    return rows.groupBy("comp").applyInPandas(run, "comp long, snp long, hap int, post_hap double, homozygous string")
+
+
+def switch_scores(calls: DataFrame, phased: DataFrame) -> DataFrame:
+    """comp, snp, post_notsw of every phased variant."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c, hap = _component(pdf)
+        return pd.DataFrame({"comp": pdf.comp.iloc[0], "snp": c.snps, "post_notsw": switch_posteriors(c, hap)})
+
+    return _rows(calls).join(phased.select("comp", "snp", "hap"), "snp").groupBy("comp").applyInPandas(run, "comp long, snp long, post_notsw double")
 
 
 def genotype(calls: DataFrame, phased: DataFrame) -> DataFrame:

@@ -15,10 +15,14 @@ from ..operators.calls import adjacent_edges
 from .components import connected_components
 
 PHASED = "comp long, snp long, hap int, ll double"
+NEVER = -80.0  # fixed: log10 probability of crossing where nothing is known
 
 
 class Component:
-    def __init__(self, frag, snp, allele, qv):
+    """The calls of a component. With crossing probabilities, a fragment is a mixture of one whose mates lie on the same
+    haplotype and one whose second mate (variants from mate2 on) lies on the other."""
+
+    def __init__(self, frag, snp, allele, qv, mate2=None, h=None):
         self.snps, self.v = np.unique(snp, return_inverse=True)
         _, self.f = np.unique(frag, return_inverse=True)
         self.a = np.asarray(allele, dtype=np.int8)
@@ -28,6 +32,13 @@ class Component:
         order = np.argsort(self.v, kind="stable")
         self.rows_of = np.split(order, np.cumsum(np.bincount(self.v, minlength=self.n))[:-1])
         self.edges = self._edges()
+        self.second = None
+        if h is not None:
+            log_h = np.full(self.m, NEVER)
+            log_h[self.f] = np.where(np.isnan(h), NEVER, h)
+            mate2 = np.where(np.isnan(mate2), np.inf, np.asarray(mate2, dtype=float))
+            self.second = np.asarray(snp) >= mate2
+            self.mixed = np.log10(-np.expm1(np.minimum(log_h, -1e-12) * np.log(10))), log_h
 
     def _edges(self):
         """Log-odds that two variants of a fragment carry equal alleles, summed over fragments; all pairs of its calls."""
@@ -67,12 +78,30 @@ class Component:
         t0, t1 = self.terms(hap)
         return np.bincount(self.f, t0, self.m), np.bincount(self.f, t1, self.m)
 
+    def crossed(self, t0, t1, rows=slice(None)):
+        """The terms of calls if the mates lie on different haplotypes."""
+        return np.where(self.second[rows], t1, t0), np.where(self.second[rows], t0, t1)
+
     @staticmethod
     def ll(p0, p1):
         return np.logaddexp(p0 * np.log(10), p1 * np.log(10)) / np.log(10)
 
+    def mixture(self, p, q, f=slice(None)):
+        """Log-likelihoods of fragments from their sums as they are (p) and with mates on different haplotypes (q)."""
+        if self.second is None:
+            return self.ll(*p)
+        return self.ll(self.ll(*p) + self.mixed[0][f], self.ll(*q) + self.mixed[1][f])
+
+    def all_sums(self, hap):
+        t = self.terms(hap)
+        p = np.bincount(self.f, t[0], self.m), np.bincount(self.f, t[1], self.m)
+        if self.second is None:
+            return p, p
+        u = self.crossed(*t)
+        return p, (np.bincount(self.f, u[0], self.m), np.bincount(self.f, u[1], self.m))
+
     def score(self, hap):
-        return float(self.ll(*self.sums(hap)).sum())
+        return float(self.mixture(*self.all_sums(hap)).sum())
 
     def spanning_start(self):
         """Follow the strongest edges first."""
@@ -93,17 +122,24 @@ class Component:
         return sign.copy()
 
     def flips(self, hap):
-        p0, p1 = self.sums(hap)
-        now = self.ll(p0, p1)
+        p, q = self.all_sums(hap)
+        now = self.mixture(p, q)
         gained = False
         for i, rows in enumerate(self.rows_of):
-            t0, t1 = self.terms(hap, rows)
-            f = self.f[rows]
-            q0, q1 = p0[f] - t0 + t1, p1[f] - t1 + t0
-            new = self.ll(q0, q1)
+            t, f = self.terms(hap, rows), self.f[rows]
+            moved = [p[0][f] - t[0] + t[1], p[1][f] - t[1] + t[0]]
+            crossed = moved
+            if self.second is not None:
+                u = self.crossed(*t, rows)
+                crossed = [q[0][f] - u[0] + u[1], q[1][f] - u[1] + u[0]]
+            new = self.mixture(moved, crossed, f)
             if new.sum() > now[f].sum() + 1e-9:
                 hap[i] ^= 1
-                p0[f], p1[f], now[f] = q0, q1, new
+                for k in (0, 1):
+                    p[k][f] = moved[k]
+                    if self.second is not None:
+                        q[k][f] = crossed[k]
+                now[f] = new
                 gained = True
         return gained
 
@@ -176,12 +212,21 @@ class Component:
         return hap ^ hap[0], best
 
 
+def of_rows(pdf: pd.DataFrame) -> Component:
+    """The component of rows frag, snp, allele, qv, and mate2_ix and h where mates may cross."""
+    more = (pdf.mate2_ix.to_numpy(float), pdf.h.to_numpy(float)) if "h" in pdf.columns else ()
+    return Component(pdf.frag.to_numpy(), pdf.snp.to_numpy(), pdf.allele.to_numpy(), pdf.qv.to_numpy(), *more)
+
+
 def phase(calls: DataFrame, patience: int = 5) -> DataFrame:
-    """(comp, snp, hap, ll): haplotype of every variant in a component, its first variant's allele being 0."""
+    """(comp, snp, hap, ll): haplotype of every variant in a component, its first variant's allele being 0.
+
+    Where calls have mate2_ix and h (log10), the mates of a fragment lie on different haplotypes with that probability.
+    """
     comps = connected_components(adjacent_edges(calls)).select(F.col("node").alias("snp"), F.col("component").alias("comp"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = Component(pdf.frag.to_numpy(), pdf.snp.to_numpy(), pdf.allele.to_numpy(), pdf.qv.to_numpy())
+        c = of_rows(pdf)
         hap, ll = c.solve(patience)
         return pd.DataFrame({"comp": pdf.comp.iloc[0], "snp": c.snps, "hap": hap.astype(np.int32), "ll": round(ll, 6)})
 
