@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import calls as C, evaluate as E, likelihood as L, link as J
+from .operators.linking import unlinked
 from .plans import genotype as G, phase as P
 from .plans.components import connected_components
+from .storage import cut
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,9 +108,19 @@ CALLS6 = f"WITH {RAW(6)}, calls AS (SELECT frag, snp, min(allele) allele, max(qv
 _BIT = "(CAST(mask AS bigint) >> CAST(snp%6 AS int)) & 1"
 _simple("exact_ml_phase", lambda s, d: P.exact_phase(calls(s, d, 6), F.floor(F.col("snp") / 6).cast("long"), 6), CALLS6 + f""", g AS (SELECT cast(floor(snp/6.0) AS bigint) comp, frag, mask, sum(CASE WHEN allele=({_BIT}) THEN {OK} ELSE {ER} END) a, sum(CASE WHEN allele=({_BIT}) THEN {ER} ELSE {OK} END) b
 FROM calls, (SELECT unnest(range(32)) mask) GROUP BY ALL), s AS (SELECT comp, mask, round(sum({LSE.format('a', 'b')}),6) ll FROM g GROUP BY ALL) SELECT comp, cast(mask AS int) mask, ll FROM s QUALIFY row_number() OVER (PARTITION BY comp ORDER BY ll DESC, mask)=1""")
-query("maxcut_phase")(lambda s, d: P.phase(calls(s, d)))
-query("refined_phase")(lambda s, d: G.refine(calls(s, d), P.phase(calls(s, d))))
-query("local_genotypes")(lambda s, d: G.genotype(calls(s, d), P.phase(calls(s, d))))
+
+
+def _on_one_cut(f):
+    """f(calls, phase) with the calls and the phase computed once."""
+    def run(spark, d: str) -> DataFrame:
+        c = cut(calls(spark, d), "calls")
+        return f(c, cut(P.phase(c), "phase"))
+    return run
+
+
+query("maxcut_phase")(lambda s, d: P.phase(cut(calls(s, d), "calls")))
+query("refined_phase")(_on_one_cut(G.refine))
+query("local_genotypes")(_on_one_cut(G.genotype))
 
 def reads(spark, d: str) -> DataFrame:
     """Events as barcoded reads: user_id is the barcode, seconds are the position."""
@@ -128,8 +140,13 @@ def _barcoded(spark, d: str) -> DataFrame:
 
 
 _simple("molecule_consensus", lambda s, d: C.summed_consensus(_barcoded(s, d)), MOLS.format(GAP) + " SELECT cast(bx*100000+mol AS bigint) frag, pos%50 snp, min(cast((pos%50 + read%7%2*CASE WHEN read%13=0 THEN 1 ELSE 0 END)%2 AS int)) allele, cast(CASE WHEN count(*)=1 THEN 20 ELSE least(20*count(*),40) END AS int) qv FROM m GROUP BY 1,2 HAVING count(DISTINCT cast((pos%50 + read%7%2*CASE WHEN read%13=0 THEN 1 ELSE 0 END)%2 AS int))=1")
-_simple("unlinked_fragments", lambda s, d: reads(s, d).join(J.molecules(reads(s, d), GAP, ["bx"]).groupBy("bx", "mol").agg(F.count("*").alias("n"), F.min("read").alias("read")).where("n = 1").select("read"), "read", "left_semi").select("read", "bx"),
-    MOLS.format(GAP) + " SELECT min(read) read, bx FROM m GROUP BY bx, mol HAVING count(*)=1")
+def _unlinked(spark, d: str) -> DataFrame:
+    m = J.molecules(reads(spark, d), GAP, ["bx"])
+    linked = m.join(m.groupBy("bx", "mol").agg(F.count("*").alias("n")).where("n > 1").select("bx", "mol"), ["bx", "mol"], "left_semi")
+    return unlinked(reads(spark, d).withColumnRenamed("read", "frag"), linked.withColumnRenamed("read", "frag")).select(F.col("frag").alias("read"), "bx")
+
+
+_simple("unlinked_fragments", _unlinked, MOLS.format(GAP) + " SELECT min(read) read, bx FROM m GROUP BY bx, mol HAVING count(*)=1")
 _simple("reads_x_variants", lambda s, d: J.interval_join(
     table(s, d, "orders").select((F.col("o_custkey") % 5).alias("chrom"), F.col("o_orderkey").alias("read"), (F.col("o_custkey") * 40).alias("start"), (F.col("o_custkey") * 40 + F.floor(F.col("o_totalprice") / 2000)).cast("long").alias("end")),
     table(s, d, "part").select((F.col("p_partkey") % 5).alias("chrom"), (F.col("p_partkey") * 37).alias("pos")), ["chrom"], 500).select("chrom", "read", "pos"),
@@ -186,3 +203,5 @@ _simple("best_genotype", lambda s, d: L.best_genotype(calls(s, d)), GENO + f", s
 _simple("union_technologies", lambda s, d: C.consensus(raw_calls(s, d).where("flag = 'A'").unionByName(raw_calls(s, d).where("flag = 'N'"))), f"WITH {RAW()} SELECT frag, snp, min(allele) allele, max(qv) qv FROM raw WHERE flag IN ('A','N') GROUP BY frag, snp HAVING count(DISTINCT allele)=1")
 _simple("common_phased", lambda s, d: raw_calls(s, d).where("flag = 'A'").select("snp").intersect(raw_calls(s, d).where("flag = 'R'").select("snp")), f"WITH {RAW()} SELECT snp FROM raw WHERE flag='A' INTERSECT SELECT snp FROM raw WHERE flag='R'")
 _simple("mean_miscall_rate", lambda s, d: calls(s, d).agg(F.round(F.avg(F.pow(F.lit(10.0), -F.col("qv") / 10)), 6).alias("rate")), CALLS + " SELECT round(avg(pow(10.0,-qv/10.0)),6) rate FROM calls")
+
+from . import catalog_files  # noqa: E402, F401  registers the queries on reads, files, links and evaluation

@@ -94,3 +94,55 @@ def best_genotype(calls: DataFrame, priors: tuple[float, float, float] = (0.9985
     top = F.greatest("s0", "s1", "s2")
     total = log_sum(log_sum(F.col("s0"), F.col("s1")), F.col("s2"))
     return g.select("snp", F.when(F.col("s0") == top, "0/0").when(F.col("s1") == top, "0/1").otherwise("1/1").alias("genotype"), (F.round(top - total, 4) + 0.0).alias("posterior"))
+
+
+def hypothetical(calls: DataFrame, hap) -> DataFrame:
+    """frag, snp, ll (as it is), ll_equal (the variant has its first copy's allele on both), ll_without (the call left out)."""
+    t = terms(calls, hap)
+    w = Window.partitionBy("frag")
+    t = t.withColumn("p0", F.sum("t0").over(w)).withColumn("p1", F.sum("t1").over(w))
+    return t.select("frag", "snp", log_sum(F.col("p0"), F.col("p1")).alias("ll"), log_sum(F.col("p0"), F.col("p1") - F.col("t1") + F.col("t0")).alias("ll_equal"), log_sum(F.col("p0") - F.col("t0"), F.col("p1") - F.col("t1")).alias("ll_without"))
+
+
+def _by_allele(calls: DataFrame, hap) -> DataFrame:
+    """Each call with its fragment's sums without it (b0, b1) and its own terms for the alleles 0 (z0) and 1 (z1)."""
+    t = terms(calls, hap)
+    w = Window.partitionBy("frag")
+    t = t.withColumn("b0", F.sum("t0").over(w) - F.col("t0")).withColumn("b1", F.sum("t1").over(w) - F.col("t1"))
+    return t.withColumn("z0", F.when(F.col("allele") == 0, log_ok()).otherwise(log_err())).withColumn("z1", F.when(F.col("allele") == 0, log_err()).otherwise(log_ok()))
+
+
+def homozygous_posterior(calls: DataFrame, hap, prior: float = -2.0) -> DataFrame:
+    """snp and log posteriors of its phase, of the flip, of 0/0 and of 1/1, all other variants as in hap (one-shot form);
+    prior: log10 of the chance of each homozygous genotype."""
+    t = _by_allele(calls, hap)
+    ll = lambda x, y: F.sum(log_sum(F.col("b0") + F.col(x), F.col("b1") + F.col(y)))
+    s = t.groupBy("snp").agg(ll("z0", "z1").alias("l0"), ll("z1", "z0").alias("l1"), ll("z0", "z0").alias("l00"), ll("z1", "z1").alias("l11"))
+    het = log_diff(F.lit(-HALF), F.lit(prior))
+    own = hap(F.col("snp")) == 0
+    s = s.select("snp", (F.when(own, F.col("l0")).otherwise(F.col("l1")) + het).alias("a"), (F.when(own, F.col("l1")).otherwise(F.col("l0")) + het).alias("b"), (F.col("l00") + prior).alias("c"), (F.col("l11") + prior).alias("d"))
+    total = log_sum(log_sum(F.col("a"), F.col("b")), log_sum(F.col("c"), F.col("d")))
+    return s.select("snp", *[(F.round(F.col(x) - total, 4) + 0.0).alias(n) for x, n in (("a", "post_hap"), ("b", "post_flip"), ("c", "post_00"), ("d", "post_11"))])
+
+
+#: Genotypes and their log10 priors, after what is added to the unphased ones.
+FIVE = ("0/0", "0/1", "1/1", "0|1", "1|0")
+FIVE_PRIORS = (0.9985, 0.001, 0.0005, 0.0005, 0.0005)
+FIVE_ADDED = (-10.0, -3.0, -10.0, 0.0, 0.0)
+
+
+def five_genotypes(calls: DataFrame, hap) -> DataFrame:
+    """snp, genotype, posterior (log10) of the best of five genotypes, all other variants as in hap (one-shot form): three
+    without phase, to whom the fragments say as much as without the variant, and two with it."""
+    t = _by_allele(calls, hap)
+    without = F.sum(log_sum(F.col("b0"), F.col("b1")) - HALF)
+    phased = lambda x, y: F.sum(log_sum(F.col("b0") + F.col(x), F.col("b1") + F.col(y)) - HALF)
+    s = t.groupBy("snp").agg((F.sum("z0") + without).alias("g0"), (without - HALF * F.count("*")).alias("g1"), (F.sum("z1") + without).alias("g2"), phased("z0", "z1").alias("g3"), phased("z1", "z0").alias("g4"))
+    scores = [F.round(F.col(f"g{i}") + F.log10(F.lit(p)) + a, 6) for i, (p, a) in enumerate(zip(FIVE_PRIORS, FIVE_ADDED))]
+    s = s.select("snp", *[x.alias(f"s{i}") for i, x in enumerate(scores)])
+    top = F.greatest(*[F.col(f"s{i}") for i in range(5)])
+    name = F.lit(None).cast("string")
+    for i in reversed(range(5)):
+        name = F.when(F.col(f"s{i}") == top, FIVE[i]).otherwise(name)
+    total = top + F.log10(sum((F.pow(F.lit(10.0), F.col(f"s{i}") - top) for i in range(5)), F.lit(0.0)))
+    return s.select("snp", name.alias("genotype"), (F.round(top - total, 4) + 0.0).alias("posterior"))

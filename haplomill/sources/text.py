@@ -183,6 +183,20 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return x.withColumn("start", F.coalesce(F.sum(F.length("bases")).over(before), F.lit(0)) + 1).select("chrom", "line", "start", "bases")
 
 
+def by_contig(rows: DataFrame, path: str) -> DataFrame:
+    """rows written as one folder per contig (column chrom) and read back; a later read of one contig opens its folder alone."""
+    rows.write.partitionBy("chrom").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
+def one_sample(lines: DataFrame, column: int, prefix: str = "chr") -> DataFrame:
+    """Variant lines (column value) with a single sample, that of a column from 0, heterozygous in it, contigs prefixed."""
+    x = lines.select(F.split("value", "\t").alias("c"))
+    gt = F.substring(F.get("c", F.lit(column)), 1, 3)
+    kept = x.where(gt.isin("0/1", "1/0", "0|1", "1|0"))
+    return kept.select(F.concat_ws("\t", F.concat(F.lit(prefix), F.get("c", F.lit(0))), F.slice("c", 2, 8), F.get("c", F.lit(column))).alias("value"))
+
+
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, start from 0, end, barcode, n_reads) of an interval file; the last two are null where it has three columns."""
     c = F.split(F.trim("value"), r"\s+")
