@@ -57,13 +57,17 @@ def run_extract(spark: SparkSession, a: argparse.Namespace) -> None:
     keep = ("read_id", "snp", "allele", "qv")
     of = reads.withColumn("read_id", F.struct("read_id", mate, "isize", "bx", "single"))
     found = text.call_snps(of, v, a.mbq).select(*keep)
-    if a.indels:
-        from .operators import indels, params
-
-        seen = params.with_reference(reads.where("single"), text.read_fasta(spark, a.ref))
-        key = reads.where("single").select("read_id", F.struct("read_id", mate, "isize", "bx", "single").alias("k")).distinct()
-        more = indels.call_indels(seen, listed).join(key, "read_id").select(F.col("k").alias("read_id"), "snp", "allele", "qv")
-        found = found.unionByName(more)
+    if a.indels or a.realign_variants:
+        from .operators import indels, params, realign
+
+        alone = reads.where("single")
+        seen = params.with_reference(alone, text.read_fasta(spark, a.ref))
+        key = alone.select("read_id", F.struct("read_id", mate, "isize", "bx", "single").alias("k")).distinct()
+        if a.realign_variants:  # single reads alone; pairs stay as they are aligned
+            more, found = realign.realigned_calls(seen, listed, a.sumall, a.indels), found.where("NOT read_id.single")
+        else:
+            more = indels.call_indels(seen, listed)
+        found = found.unionByName(more.join(key, "read_id").select(F.col("k").alias("read_id"), "snp", "allele", "qv"))
     calls = found.select("read_id.read_id", "read_id.mate", "read_id.isize", F.col("read_id.bx").alias("barcode"), "read_id.single", "snp", "allele", "qv")
     least = 1 if a.singlereads or a.barcodes else 2
     parts = [extract.single_fragments(calls.where("single"), least), extract.pair_fragments(calls.where("NOT single"), least)]
@@ -87,11 +91,15 @@ def run_phase(spark: SparkSession, a: argparse.Namespace) -> None:
         calls = calls.join(extract.near_enough(fragments, a.max_IS).select("frag"), "frag", "left_semi")
     known = variants.where("het" if not a.snvs_only else "het AND NOT is_indel").select(F.col("var_ix").alias("snp"))
     kept = cut(calls.where(F.col("qv") >= a.mbq).withColumn("qv", F.least("qv", F.lit(a.maxbq))).join(known, "snp", "left_semi"), "calls")
-    if a.hic:
+    if a.crossing:  # a known model instead of one estimated along with the phase
+        rates = text.read_crossing_model(spark, a.crossing).withColumnRenamed("prob", "rate")
+        with_h = cut(kept.join(hic.with_crossing(fragments.select("frag", "mate2_ix", "isize"), rates).select("frag", "mate2_ix", "h"), "frag", "left"), "mates")
+        found = genotype.refine(with_h, cut(phase(with_h, a.converge), "phase"))
+    elif a.hic:
         found, rates = hic.crossing_em(fragments, kept)
         save(text.crossing_model_lines(rates), a.output + ".crossing", "bin")
     else:
-        first = cut(phase(kept), "phase")
+        first = cut(phase(kept, a.converge), "phase")
         found = genotype.call_homozygous(kept, first, variants.select(F.col("var_ix").alias("snp"), "homozygous_prior")) if a.call_homozygous else genotype.refine(kept, first)
     rows = cut(placed(found, kept, variants), "phased")
     blocks = rows
@@ -101,20 +109,26 @@ def run_phase(spark: SparkSession, a: argparse.Namespace) -> None:
     save(text.block_lines(blocks, variants, kept, None if a.skip_prune else a.threshold), a.output, "comp")
     if a.outvcf:
         save(text.phased_variant_lines(spark, a.VCF, rows, a.threshold), a.output + ".phased.VCF", "part", "ix")
+    if a.genotyping:
+        g = genotype.genotype(kept, rows).join(variants.select(F.col("var_ix").alias("snp"), "chrom", "pos"), "snp")
+        save(g.select("snp", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "genotype", F.format_string("%.6f", "posterior")).alias("value")), a.output + ".genotypes", "snp")
     if a.tags:
         tags = likelihood.fragment_tags(kept, rows).join(fragments.select("frag", "name"), "frag")
         save(tags.select("name", F.concat_ws(" ", "name", F.col("ps").cast("string"), F.col("hp").cast("string"), F.col("pq").cast("string")).alias("value")), a.output + ".tags", "name")
 
 
 def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    variants = text.read_variants(spark, a.VCF)
-    if a.truth_VCF:
-        truth = evaluate.phased_blocks(text.read_variants(spark, a.truth_VCF), a.indels)
-    else:
-        truth = evaluate.assembled(text.read_blocks(spark, a.truth_blocks), variants, a.indels)
-    found = evaluate.assembled(text.read_blocks(spark, a.blocks), variants, a.indels) if a.blocks else evaluate.phased_blocks(variants, a.indels)
-    found = evaluate.largest_block(found) if a.largest else found
-    save(evaluate.report_lines(evaluate.report(truth, found, variants, a.indels)).coalesce(1), a.output)
+    """One report over all contigs; the files of a contig stand at the same place of each list."""
+    n = len(a.VCF)
+    if any(len(x) != n for x in (a.blocks, a.truth_VCF, a.truth_blocks) if x):
+        raise SystemExit("the lists of files differ in length")
+    parts = []
+    for i, path in enumerate(a.VCF):
+        variants = text.read_variants(spark, path)
+        truth = evaluate.phased_blocks(text.read_variants(spark, a.truth_VCF[i]), a.indels) if a.truth_VCF else evaluate.assembled(text.read_blocks(spark, a.truth_blocks[i]), variants, a.indels)
+        found = evaluate.assembled(text.read_blocks(spark, a.blocks[i]), variants, a.indels) if a.blocks else evaluate.phased_blocks(variants, a.indels)
+        parts.append((truth, evaluate.largest_block(found) if a.largest else found, variants))
+    save(evaluate.report_lines(evaluate.report(*evaluate.together(parts), a.indels)).coalesce(1), a.output)
 
 
 def run_prune(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -167,7 +181,7 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--region")
     for n, v in (("mmq", 20), ("mbq", 13), ("minIS", 0), ("maxIS", 1000)):
         x.add_argument(f"--{n}", type=int, default=v)
-    flags(x, "indels", "hom", "triallelic", "PEonly", "singlereads", "barcodes", "hic", "supplementary")
+    flags(x, "indels", "realign_variants", "sumall", "hom", "triallelic", "PEonly", "singlereads", "barcodes", "hic", "supplementary")
     x = command("link", run_link, "fragments", "VCF")
     x.add_argument("--bam", nargs="+", required=True)
     x.add_argument("--distance", type=int, default=20_000)
@@ -179,13 +193,16 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--mbq", type=int, default=6)
     x.add_argument("--maxbq", type=int, default=40)
     x.add_argument("--max_IS", type=int)
-    flags(x, "hic", "skip_prune", "error_analysis", "split_blocks", "call_homozygous", "snvs_only", "tags")
+    x.add_argument("--converge", type=int, default=5, help="passes without gain that end a search")
+    x.add_argument("--crossing", help="a file of crossing probabilities by insert size")
+    flags(x, "hic", "skip_prune", "error_analysis", "split_blocks", "call_homozygous", "snvs_only", "tags", "genotyping")
     flags(x, "outvcf", default=True)
-    x = command("evaluate", run_evaluate, "VCF")
-    x.add_argument("--blocks", help="assembled blocks; without them the phase of the variant file is evaluated")
+    x = command("evaluate", run_evaluate)
+    x.add_argument("--VCF", nargs="+", required=True)
+    x.add_argument("--blocks", nargs="+", help="assembled blocks; without them the phase of the variant file is evaluated")
     truth = x.add_mutually_exclusive_group(required=True)
-    truth.add_argument("--truth_VCF")
-    truth.add_argument("--truth_blocks")
+    truth.add_argument("--truth_VCF", nargs="+")
+    truth.add_argument("--truth_blocks", nargs="+")
     flags(x, "indels", "largest")
     x = command("prune", run_prune, "blocks")
     x.add_argument("--mismatch", type=float, default=30)

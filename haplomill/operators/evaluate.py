@@ -212,6 +212,21 @@ def report(truth: DataFrame, assembly: DataFrame, variants: DataFrame, indels: b
         "phased", "het_snps", F.col("an50").alias("AN50"), F.coalesce("n50", F.lit(0)).alias("N50"), "most_phased", "different")
 
 
+def together(parts: list[tuple[DataFrame, DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(truth, assembly, variants) of several contigs as one: blocks and variants are numbered apart. A contig that stands in
+    two of them stops the run."""
+    both = None
+    for i, (truth, found, variants) in enumerate(parts):
+        named = [x.withColumn("block", F.concat(F.lit(f"{i}:"), F.col("block").cast("string"))).withColumn("snp", F.col("snp") + i * (1 << 40)) for x in (truth, found)]
+        now = [*named, variants.withColumn("_file", F.lit(i))]
+        both = now if both is None else [x.unionByName(y) for x, y in zip(both, now)]
+    truth, found, variants = both
+    twice = variants.groupBy(contig(F.col("chrom")).alias("c")).agg(F.countDistinct("_file").alias("n")).where("n > 1").first()
+    if twice:
+        raise ValueError(f"contig {twice.c} stands in several files")
+    return truth, found, variants.drop("_file")
+
+
 def added_reports(reports: DataFrame, key: str = "contig") -> DataFrame:
     """One row from reports of several contigs, each counted once; a contig that comes twice stops the run. Rows have the
     counts and the possible counts (poss_sw, poss_mm) of a contig."""

@@ -1,8 +1,9 @@
 """Maximum-likelihood phasing of connected components.
 
 A component is the unit in which haplotypes are defined, so its calls meet in one task; components run in parallel.
-Within one, a haplotype is improved by single flips and by greedy max-cuts: variants are added to the shore that
-their log-odds edges favour, and the other shore is flipped if the likelihood of the fragments gains by it.
+Within one, a haplotype is improved by single flips and by greedy max-cuts: cuts begin at edges that the haplotype
+contradicts, variants are added to the shore that the likelihoods of their fragments favour, and the other shore is
+flipped if the likelihood of the fragments gains by it.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ class Component:
         self.n, self.m = len(self.snps), int(self.f.max()) + 1
         order = np.argsort(self.v, kind="stable")
         self.rows_of = np.split(order, np.cumsum(np.bincount(self.v, minlength=self.n))[:-1])
+        self.calls_of = np.split(np.argsort(self.f, kind="stable"), np.cumsum(np.bincount(self.f, minlength=self.m))[:-1])
         self.edges = self._edges()
         self.second = None
         if h is not None:
@@ -143,29 +145,43 @@ class Component:
                 gained = True
         return gained
 
-    def pulls(self, hap):
-        """Neighbours of each variant with the weight by which hap agrees with their edge."""
+    def agreement(self, hap):
+        """The weight by which hap agrees with each edge."""
         i, j, w = self.edges
-        near: list[list[tuple[int, float]]] = [[] for _ in range(self.n)]
-        agree = np.where(hap[i] == hap[j], w, -w)
-        for a, b, x in zip(i.tolist(), j.tolist(), agree.tolist()):
-            near[a].append((b, x))
-            near[b].append((a, x))
-        return near, agree
-
-    def cut(self, near, start, other=None):
-        """One greedy cut from a variant, or from two on opposite shores; the second shore as a mask."""
+        return np.where(hap[i] == hap[j], w, -w)
+
+    def cut(self, hap, start, other=None):
+        """One greedy cut from a variant, or from two on opposite shores; the second shore as a mask.
+
+        The variant whose place is clearest comes next. Its pull is how much likelier its fragments are, given their calls
+        on both shores so far, with the variant as hap has it than with its other allele; what is placed updates the
+        likelihoods of its fragments, and these the pulls of their other variants.
+        """
         import heapq
 
-        shore, pull = np.zeros(self.n, dtype=np.int8), np.zeros(self.n)
+        t = self.terms(hap)
+        u = t if self.second is None else self.crossed(*t)
+        sums = [np.zeros(self.m) for _ in range(4)]
+        gain, shore, pull = np.zeros(len(self.f)), np.zeros(self.n, dtype=np.int8), np.zeros(self.n)
         heap: list[tuple[float, int]] = []
 
         def place(v, s):
             shore[v] = s
-            for b, x in near[v]:
-                if not shore[b]:
-                    pull[b] += s * x
-                    heapq.heappush(heap, (-abs(pull[b]), b))
+            rows = self.rows_of[v]
+            for k, x in enumerate((*t, *u) if s > 0 else (t[1], t[0], u[1], u[0])):
+                sums[k][self.f[rows]] += x[rows]
+            near = np.concatenate([self.calls_of[f] for f in self.f[rows]])
+            near = near[shore[self.v[near]] == 0]
+            if not len(near):
+                return
+            f = self.f[near]
+            base = [x[f] for x in sums]
+            kept = self.mixture((base[0] + t[0][near], base[1] + t[1][near]), (base[2] + u[0][near], base[3] + u[1][near]), f)
+            turned = self.mixture((base[0] + t[1][near], base[1] + t[0][near]), (base[2] + u[1][near], base[3] + u[0][near]), f)
+            np.add.at(pull, self.v[near], kept - turned - gain[near])
+            gain[near] = kept - turned
+            for b in set(self.v[near].tolist()):
+                heapq.heappush(heap, (-abs(pull[b]), b))
 
         place(start, 1)
         if other is not None:
@@ -180,31 +196,38 @@ class Component:
         """Flips and at most one cut in each pass, until more than `patience` passes in turn bring no gain.
 
         A pass starts cuts from the edges that the haplotype contradicts most, one more than `patience`, then from
-        max(1, n / 10) random edges or variants, and takes the first cut that brings a gain.
+        max(1, n / 10) random edges or variants. It ends once more than `patience` of them were no better than the best one
+        so far, and the best is taken if it brings a gain.
         """
         hap = self.spanning_start()
         if not len(self.edges[0]):
             return hap, self.score(hap)
         i, j, _ = self.edges
         drawn = np.random.default_rng(self.n)
-        best, failed, near = self.score(hap), 0, None
+        best, failed, agree = self.score(hap), 0, None
         for _ in range(passes):
             if self.flips(hap):
-                near = None
+                agree = None
             now = max(best, self.score(hap))
             starts = []
-            if near is None:  # else the haplotype is that of the last pass, where these starts failed
-                near, agree = self.pulls(hap)
+            if agree is None:  # else the haplotype is that of the last pass, where these starts failed
+                agree = self.agreement(hap)
                 starts = [(i[k], j[k]) for k in np.argsort(agree, kind="stable")[: patience + 1]]
             for k in drawn.integers(0, len(i), max(1, self.n // 10)):
                 starts.append((i[k], j[k]) if agree[k] < 1 else (drawn.integers(0, self.n), None))
+            top, found, vain = -np.inf, None, 0
             for start in starts:
                 trial = hap.copy()
-                trial[self.cut(near, *start)] ^= 1
+                trial[self.cut(hap, *start)] ^= 1
                 value = self.score(trial)
-                if value > now + 1e-9:
-                    hap, now, near = trial, value, None
+                if value > top + 1e-9:
+                    top, found = value, trial
+                else:
+                    vain += 1
+                if vain > patience:
                     break
+            if top > now + 1e-9:
+                hap, now, agree = found, top, None
             failed = 0 if now > best + 1e-9 else failed + 1
             best = now
             if failed > patience:

@@ -377,3 +377,87 @@ def test_allele_functions(spark):
     assert alleles.binary_flag("1") == 1
     with pytest.raises(ValueError):
         alleles.binary_flag("2")
+
+
+def test_contigs_are_evaluated_together(spark, tmp_path):
+    rng, files = random.Random(4), {"v": [], "b": []}
+    for c in ("chr1", "chr2"):
+        v, b = tmp_path / f"{c}.vcf", tmp_path / f"{c}.txt"
+        g = [rng.choice(("0|1", "1|0")) for _ in range(12)]
+        v.write_text("".join(variant(100 * (i + 1), x, chrom=c) for i, x in enumerate(g)))
+        flip = 5 if c == "chr1" else 12  # one switch on chr1
+        b.write_text("BLOCK: x\n" + "".join(f"{i + 1}\t{x[0 if i < flip else 2]}\t{x[2 if i < flip else 0]}\t{c}\t{100 * (i + 1)}\tA\tT\t{x}\t0\t.\t50.00\t4\n" for i, x in enumerate(g)))
+        files["v"].append(str(v))
+        files["b"].append(str(b))
+    out = str(tmp_path / "e")
+    main(["evaluate", "--VCF", *files["v"], "--blocks", *files["b"], "--truth_VCF", *files["v"], "--output", out])
+    shown = {r.value.split(":")[0]: float(r.value.split()[-1]) for r in spark.read.text(out).collect()}
+    assert shown["switch rate"] == round(1 / 18, 6) and shown["mismatch rate"] == 0 and shown["phased count"] == 24 and shown["N50"] == 1100
+    main(["evaluate", "--VCF", *files["v"], "--truth_blocks", *files["b"], "--output", out])
+    assert {r.value.split(":")[0]: float(r.value.split()[-1]) for r in spark.read.text(out).collect()}["switch rate"] == round(1 / 18, 6)
+    with pytest.raises(ValueError, match="several files"):
+        main(["evaluate", "--VCF", files["v"][0], files["v"][0], "--truth_VCF", *files["v"], "--output", out])
+    with pytest.raises(SystemExit):
+        main(["evaluate", "--VCF", *files["v"], "--blocks", files["b"][0], "--truth_VCF", *files["v"], "--output", out])
+
+
+def test_reads_are_realigned(spark, tmp_path):
+    rng = random.Random(12)
+    ref = "".join(rng.choices("ACGT", k=300))
+    other = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    sites = [(100, ref[99], other[ref[99]]), (108, ref[107], other[ref[107]]), (112, ref[111], ref[111] + "GATC"), (200, ref[199], other[ref[199]])]
+    v, fa = tmp_path / "v.vcf", tmp_path / "r.fa"
+    v.write_text("".join(variant(p, "0/1", ref=a, alt=b, chrom="c1") for p, a, b in sites))
+    fa.write_text(">c1\n" + "\n".join(ref[i : i + 60] for i in range(0, 300, 60)) + "\n")
+
+    def copy(alleles, at, end):
+        out, r = "", at
+        for (p, a, b), x in sorted(zip(sites, alleles)):
+            if r <= p - 1 < end:
+                out += ref[r : p - 1] + (b if x else a)
+                r = p - 1 + len(a)
+        return out + ref[r:end]
+
+    rows, want = [], {}
+    for i, alleles in enumerate(((0, 0, 0, 0), (1, 0, 0, 1), (0, 1, 1, 0), (1, 1, 1, 1))):
+        seq = copy(alleles, 60, 260)
+        ops = [(112 - 60, "M"), (4, "I"), (260 - 112, "M")] if alleles[2] else [(200, "M")]
+        rows.append((f"r{i}", 0, "c1", 61, 60, ops, seq, "5" * len(seq)))
+        want |= {(f"r{i}", k): x for k, x in enumerate(alleles)}
+    reads = spark.createDataFrame(rows, "read_id string, flag int, chrom string, pos int, mapq int, cigar array<struct<len:int,op:string>>, seq string, qual string")
+    from haplomill.operators import realign
+
+    seen, listed = params.with_reference(reads, text.read_fasta(spark, str(fa))), text.read_extraction_variants(spark, str(v))
+    for summed in (False, True):
+        got = {(r.read_id, r.snp): r.allele for r in realign.realigned_calls(seen, listed, summed, True).collect()}
+        assert got == {k: x for k, x in want.items() if k in got} and len(got) >= 14
+        plain = realign.realigned_calls(seen, listed, summed).collect()
+        assert {r.snp for r in plain} == {0, 1, 3}
+    w = realign.windows(seen, listed, indels=True).collect()
+    assert {tuple(r.snps) for r in w} >= {(3,)} and all(ref.find(r.window) >= 0 and r.window[r.offsets[0]] == r.refs[0][0] for r in w)
+    s = tmp_path / "r.sam"
+    s.write_text("".join(f"{n}\t{f}\t{c}\t{p}\t{m}\t{''.join(f'{k}{o}' for k, o in ops)}\t*\t0\t0\t{q}\t{u}\n" for n, f, c, p, m, ops, q, u in rows))
+    main(["extract", "--VCF", str(v), "--bam", str(s), "--ref", str(fa), "--realign_variants", "--output", str(tmp_path / "f")])
+    lines = [r.value.split() for r in spark.read.text(str(tmp_path / "f")).collect()]
+    assert sorted(x[1] for x in lines) == ["r0", "r1", "r2", "r3"] and all(x[0] == "2" and len(x) == 10 for x in lines)
+
+
+def test_one_sample_of_many(spark):
+    rows = ["1\t5\t.\tA\tT\t.\t.\t.\tGT\t0/1\t1/1", "2\t6\t.\tA\tT\t.\t.\t.\tGT\t0/0\t1|0:3", "3\t7\t.\tA\tT\t.\t.\t.\tGT\t0/1"]
+    df = spark.createDataFrame([(r,) for r in rows], "value string")
+    assert [r.value for r in text.one_sample(df, 10).collect()] == ["chr2\t6\t.\tA\tT\t.\t.\t.\tGT\t1|0:3"]
+
+
+def test_streams(spark, tmp_path):
+    from haplomill.streaming import molecules as S
+
+    rows = [(b, f"2024-01-01 00:{m:02d}:00") for b, m in (("g", 0), ("g", 5), ("g", 30), ("h", 2), ("z", 59))]
+    spark.createDataFrame(rows, "bx string, t string").selectExpr("bx", "cast(t as timestamp) ts").write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema("bx string, ts timestamp").parquet(str(tmp_path / "e"))
+    got = sorted((r.bx, r.start.minute, r.end.minute, r.n_reads) for r in S.drained(S.stream_molecules(stream, "10 minutes", "0 seconds"), "m").collect())
+    assert got == [("g", 0, 5, 2), ("g", 30, 30, 1), ("h", 2, 2, 1)]  # z's molecule may still go on
+    bins = S.drained(S.stream_bins(spark.readStream.schema("bx string, ts timestamp").parquet(str(tmp_path / "e")), "20 minutes", "0 seconds"), "b")
+    assert sorted((r.bx, r.start.minute, r.n) for r in bins.collect()) == [("g", 0, 2), ("g", 20, 1), ("h", 0, 1)]
+    pair = lambda: spark.readStream.schema("bx string, ts timestamp").parquet(str(tmp_path / "e")).withColumnRenamed("bx", "read")
+    m = S.drained(S.stream_mates(pair(), pair(), "6 minutes"), "p").where("t1 < t2")
+    assert [(r.read, r.t1.minute, r.t2.minute) for r in m.collect()] == [("g", 0, 5)]
