@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .catalog import BINS, CALLS, CALLS6, GAP, HAP, LSE, MATCH, MOLS, OK, ER, RAW, TERMS, _BIT, _mates, _simple, calls, hap, locus, raw_calls, reads, table, voted
 from .functions import alleles as A
@@ -306,3 +306,106 @@ def _streamed_bins(spark, d: str) -> DataFrame:
 
 
 _simple("streaming_bins", _streamed_bins, """WITH b AS (SELECT event_type bx, cast(floor(epoch(ts)/86400) AS bigint)*86400 s, count(*) n FROM events GROUP BY 1, 2) SELECT bx, s AS "start", n FROM b WHERE (s+86400)*1000 <= (SELECT epoch_ms(max(ts)) FROM events)""")
+
+
+# ---- files: written as text in shared storage and read back ----
+
+def _written(lines: DataFrame, name: str, *order: str) -> str:
+    path = scratch_path(lines.sparkSession, name)
+    (lines.orderBy(*order) if order else lines).select("value").write.text(path)
+    return path
+
+
+def _fragment_file(spark, d: str) -> DataFrame:
+    c = calls(spark, d).withColumn("name", F.concat(F.lit("f"), F.col("frag").cast("string")))
+    none = F.lit(None)
+    f = c.select("name", (F.col("frag") % 2).alias("half")).distinct().select("name", "half", none.cast("long").alias("mate2_ix"), none.cast("long").alias("isize"), none.cast("string").alias("barcode"))
+    paths = [_written(X.in_order(X.typed_lines(f.where(F.col("half") == k), c.select("name", "snp", "allele", "qv"), 0, bool(k))), f"fragments-{k}") for k in (0, 1)]
+    fragments, found = T.read_fragment_files(spark, paths)
+    return found.join(fragments.select("frag", "name"), "frag").select("name", "snp", "allele", "qv")
+
+
+_simple("fragment_files", _fragment_file, CALLS + " SELECT 'f' || frag AS name, snp, allele, qv FROM calls")
+
+
+def _variant_file(spark, d: str) -> str:
+    rows = _variant_rows(spark, d)
+    head = spark.createDataFrame([(-1, 0, "##fileformat=VCFv4.1")], "ok long, ln int, value string")
+    return _written(rows.select("ok", "ln", F.array_join("c", "\t").alias("value")).unionByName(head), "variants", "ok", "ln", "value")
+
+
+_simple("variant_file", lambda s, d: T.read_variants(s, _variant_file(s, d)).select("var_ix", "chrom", "pos", "ref", "alt", F.substring("genotype", 1, 3).alias("genotype"), "is_indel", "het"),
+    f"WITH {ROWS} SELECT row_number() OVER (ORDER BY ok, ln, chrom, ref, alt) - 1 var_ix, chrom, cast(pos AS int) pos, ref, alt, gt genotype, length(ref)<>1 OR len(list_filter(string_split(alt,','), lambda a: length(a)<>1))>0 is_indel, left(gt,1)<>right(gt,1) het FROM v")
+
+
+def _alignment_file(spark, d: str) -> str:
+    l = table(spark, d, "lineitem")
+    line = F.concat_ws("\t", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), F.when(F.col("l_suppkey") % 5 == 0, F.col("l_partkey") % 4096).otherwise(F.col("l_partkey") % 4 * 16).cast("string"),
+        F.concat(F.lit("c"), (F.col("l_orderkey") % 3).cast("string")), F.col("l_partkey").cast("string"), (F.col("l_partkey") % 41 + 10).cast("string"), F.lit("4S80M2I14M"), F.lit("="), F.lit("1"), F.lit("0"), F.repeat(F.lit("ACGT"), F.lit(25)), F.repeat(F.lit("5I"), F.lit(50)),
+        F.concat(F.lit("BX:Z:b"), (F.col("l_orderkey") % 100).cast("string")))
+    return _written(l.select(line.alias("value")).unionByName(spark.createDataFrame([("@HD\tVN:1.6",)], "value string")), "alignments")
+
+
+ALIGNED = """l AS (SELECT l_orderkey || '-' || l_linenumber read_id, CASE WHEN l_suppkey%5=0 THEN l_partkey%4096 ELSE l_partkey%4*16 END flag, 'c' || l_orderkey%3 chrom, cast(l_partkey AS int) pos, cast(l_partkey%41+10 AS int) mapq, 'b' || l_orderkey%100 bx FROM lineitem),
+a AS (SELECT * FROM l WHERE (flag & 3844)=0 AND mapq>=20)"""
+_simple("alignment_file", lambda s, d: T.aligned_pieces(T.read_sam(s, _alignment_file(s, d))).select("read_id", "flag", "chrom", "pos", "mapq", "end", F.size("cigar").alias("ops"), "mate_chrom", "bx"),
+    f"WITH {ALIGNED} SELECT read_id, cast(flag AS int) flag, chrom, pos, mapq, cast(pos+93 AS int) \"end\", cast(4 AS int) ops, chrom mate_chrom, bx FROM a")
+
+
+def _called(spark, d: str) -> DataFrame:
+    base = lambda k: F.substring(F.lit("ACGT"), (k % 4 + 1).cast("int"), F.lit(1))
+    p = F.col("p_partkey")
+    v = table(spark, d, "part").select(p.alias("var_ix"), F.concat(F.lit("c"), (p % 3).cast("string")).alias("chrom"), (p * 3).cast("int").alias("pos"), base(p).alias("ref"), base(p + 1).alias("alt"), (p % 7 != 0).alias("het"), F.lit(False).alias("is_indel"))
+    return T.call_snps(T.read_sam(spark, _alignment_file(spark, d)), v, 21).select("read_id", "snp", "allele", "qv")
+
+
+_simple("called_alleles", _called, f"""WITH {ALIGNED}, v AS (SELECT p_partkey snp, 'c' || p_partkey%3 chrom, p_partkey*3 vpos, substr('ACGT', cast(p_partkey%4+1 AS int), 1) r, substr('ACGT', cast((p_partkey+1)%4+1 AS int), 1) b FROM part WHERE p_partkey%7<>0),
+j AS (SELECT *, CASE WHEN vpos-pos<80 THEN vpos-pos+4 ELSE vpos-pos+6 END o FROM a JOIN v ON a.chrom=v.chrom AND vpos BETWEEN pos AND pos+93),
+k AS (SELECT *, substr('ACGT', cast(o%4+1 AS int), 1) base, CASE WHEN o%2=0 THEN 20 ELSE 40 END q FROM j) SELECT read_id, snp, cast(CASE WHEN base=r THEN 0 ELSE 1 END AS int) allele, cast(least(q, mapq) AS int) qv FROM k WHERE base IN (r, b) AND q>=21""")
+
+
+def _sequence_file(spark, d: str) -> DataFrame:
+    n = table(spark, d, "part").where("p_partkey <= 90").select((F.col("p_partkey") % 3).alias("k"), "p_partkey", F.lpad(F.lower(F.translate(F.col("p_partkey").cast("string"), "0123456789", "ACGTACGTAC")), 7, "n").alias("value"))
+    heads = spark.range(3).select(F.col("id").alias("k"), F.lit(-1).cast("long").alias("p_partkey"), F.concat(F.lit(">s"), F.col("id").cast("string"), F.lit(" contig")).alias("value"))
+    return T.read_fasta(spark, _written(n.unionByName(heads), "sequence", "k", "p_partkey"))
+
+
+_simple("sequence_file", _sequence_file, """WITH l AS (SELECT p_partkey%3 k, p_partkey, upper(lpad(lower(translate(cast(p_partkey AS varchar), '0123456789', 'ACGTACGTAC')), 7, 'n')) bases FROM part WHERE p_partkey<=90)
+SELECT 's' || k chrom, row_number() OVER w - 1 line, (row_number() OVER w - 1)*7+1 "start", bases FROM l WINDOW w AS (PARTITION BY k ORDER BY p_partkey)""")
+
+
+def _interval_file(spark, d: str) -> DataFrame:
+    spans = N.molecule_spans(reads(spark, d).select(F.lit("c").alias("chrom"), F.concat(F.lit("b"), F.col("bx").cast("string")).alias("bx"), "pos", (F.col("pos") + 99).alias("end"), F.lit(0).alias("flag"), F.lit(60).alias("mapq"), F.lit(None).cast("string").alias("mi")), GAP)
+    return T.read_bed(spark, _written(T.interval_lines(spans), "intervals"))
+
+
+_simple("interval_file", _interval_file, MOLS.format(GAP) + " SELECT 'c' chrom, min(pos)-1 \"start\", max(pos)+99 \"end\", 'b' || bx barcode, count(*) n_reads FROM m GROUP BY bx, mol")
+_simple("crossing_file", lambda s, d: T.read_crossing_model(s, _written(T.crossing_model_lines(s.range(50).select(F.col("id").alias("bin"), (F.col("id") / 100).alias("rate"))), "crossing", "bin")), "SELECT i bin, round(i/100.0,6)::double prob FROM range(50) t(i)")
+
+
+def _block_file(spark, d: str) -> DataFrame:
+    c = cut(calls(spark, d), "calls")
+    post = L.variant_posterior(c, hap).select("snp", locus().alias("comp"), hap(F.col("snp")).cast("int").alias("hap"), "post_hap")
+    v = post.select(F.col("snp").alias("var_ix"), F.lit("c").alias("chrom"), (F.col("snp") * 10).alias("pos"), F.lit("A").alias("ref"), F.lit("T").alias("alt"), F.lit("0/1").alias("genotype"), F.lit("0/1").alias("sample"))
+    found = T.read_blocks(spark, _written(T.block_lines(post, v, c), "blocks", "comp"))
+    return found.select("snp", "a1", "a2", "chrom", "pos", "ref", "alt", "sample", "discrete", "n", F.min("snp").over(Window.partitionBy("block")).alias("first"))
+
+
+_simple("block_file", _block_file, FRAGS + f""", vp AS (SELECT snp, count(*) n, sum({_LL('p0', 'p1')}) a, sum({_LL('(p0-t0+t1)', '(p1-t1+t0)')}) b FROM terms JOIN p USING (frag) GROUP BY snp),
+x AS (SELECT snp, n, {HAP.format('snp')} h, first_value({HAP.format('snp')}) OVER w lead, min(snp) OVER w f, round(a-{_LL('a', 'b')},4)<log10(0.8) low FROM vp WINDOW w AS (PARTITION BY floor(snp/12.0) ORDER BY snp ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT snp, CASE WHEN low THEN '-' WHEN lead=0 THEN cast(h AS varchar) ELSE cast(1-h AS varchar) END a1, CASE WHEN low THEN '-' WHEN lead=0 THEN cast(1-h AS varchar) ELSE cast(h AS varchar) END a2, 'c' chrom, cast(snp*10 AS int) pos, 'A' ref, 'T' alt, '0/1' AS sample, '0' AS discrete, n, f AS "first" FROM x""")
+
+
+def _phased_file(spark, d: str) -> DataFrame:
+    path = _variant_file(spark, d)
+    v = T.read_variants(spark, path)
+    phased = v.where("het AND var_ix % 5 <> 0").select(F.col("var_ix").alias("snp"), (F.col("var_ix") % 2).cast("int").alias("hap"), (F.floor(F.col("var_ix") / 10) * 1000).alias("first_pos"), (F.col("var_ix") % 3).alias("size"), (-(F.col("var_ix") % 9) / 50).alias("post_hap"), (F.col("var_ix") % 8).alias("n"))
+    lines = T.phased_variant_lines(spark, path, phased).where("part = 1")
+    c = F.split("value", "\t")
+    return lines.select("ix", F.get(c, F.lit(8)).alias("format"), F.get(c, F.lit(9)).alias("sample"))
+
+
+_simple("phased_file", _phased_file, f"""WITH {ROWS}, x AS (SELECT *, row_number() OVER (ORDER BY ok, ln, chrom, ref, alt) - 1 ix FROM v), y AS (SELECT *, left(gt,1) a, right(gt,1) b, left(gt,1)<>right(gt,1) AND ix%5<>0 AND ix%3=2 inside, -(ix%9)/50.0 post FROM x),
+z AS (SELECT *, CASE WHEN NOT inside THEN 0 WHEN post<log10(0.8) THEN 2 ELSE 1 END kind, CASE WHEN contains(gt,'2') THEN a ELSE '0' END one, CASE WHEN contains(gt,'2') THEN b ELSE '1' END two FROM y)
+SELECT ix, CASE WHEN kind=1 THEN 'GT:DP:PQ:PD:PS' ELSE 'GT:DP:PS' END format, CASE kind WHEN 0 THEN a || '/' || b WHEN 2 THEN './.' ELSE CASE WHEN ix%2=0 THEN one || '|' || two ELSE two || '|' || one END END || ':' || ln || ':' ||
+ CASE WHEN kind=1 THEN cast(cast(floor(CASE WHEN post=0 THEN 100.0 ELSE least(-10*log10(1-pow(10.0,post)),100.0) END + 0.5) AS bigint) AS varchar) || ':' || (ix%8) || ':' || (cast(floor(ix/10) AS bigint)*1000) ELSE '.' END AS "sample" FROM z""")
