@@ -64,6 +64,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes hashed at a time.
+STRETCH = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = np.ones(1, dtype=np.uint64)
 _INVERSE = np.ones(1, dtype=np.uint64)
@@ -91,7 +93,18 @@ def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice data[start:end]; equal slices have equal hashes wherever they lie."""
+    """A 64-bit hash of each slice data[start:end]; equal slices have equal hashes wherever they lie.
+
+    Slices come in order and don't overlap. A long text is hashed some of its slices at a time, so memory grows with the
+    longest slice, not with the text.
+    """
+    if len(data) > STRETCH and len(starts):
+        cuts = np.flatnonzero(np.diff(starts // STRETCH)) + 1
+        return np.concatenate([_slice_hashes(data[s[0] : e[-1]], s - s[0], e - s[0]) for s, e in zip(np.split(starts, cuts), np.split(ends, cuts))])
+    return _slice_hashes(data, starts, ends)
+
+
+def _slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
     up, down = _powers(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)

@@ -44,6 +44,20 @@ class MinHash:
         return ((low >> np.uint64(24)) & np.uint64(0xFFFF)).astype("<u2") if len(x) else np.full(len(self.a), 0xFFFF, "<u2")
 
 
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of each row of docs: bands of signatures are joined, what meets is verified by the Jaccard
+    similarity of its whole shingle sets, and links are followed; component_id is the smallest doc_id of the component.
+
+    Equal texts, null and empty ones among them, are one text. Rows with a null doc_id keep it and take part, but name no
+    component; texts of any length are compared whole; repeated rows stay; other columns are ignored; an empty table gives
+    an empty result.
+    """
+    from .near_copies import identified, near_copies
+
+    found = near_copies(docs, words, similarity, fuzzy=False).select("h1", "h2", F.col("keep").alias("component_id"))
+    return identified(docs).join(found, ["h1", "h2"]).select("doc_id", "component_id")
+
+
 def edited_text(text: str, following: str) -> str:
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]

@@ -54,6 +54,18 @@ def _identity():
     return F.xxhash64(_text()).alias("h1"), F.xxhash64(F.lit("text"), _text()).alias("h2")
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2) of each row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_identity())
+
+
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes that stand for their fingerprints, which are within 3 bits of each other."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("n"))
+    end = lambda k: first.select(F.col("fp").alias(k), F.col("n").alias(f"n{k}"))
+    return links(first.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+
+
 def jaccard_forest(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Links that connect what similarities of at least `similarity` connect; sets are sorted and distinct.
 
@@ -86,14 +98,15 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float = SIMILARITY) -> li
     return found
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, fuzzy: bool = True) -> DataFrame:
     """(h1, h2, least, component, keep) of every distinct text, named by 128 bits of hash: least is its smallest doc_id,
     keep that of its component.
 
     Exact copies are one component, a null text counting as empty. Links are Jaccard similarities of at least
     `similarity` over the sets of word shingles; a shorter text is one shingle, a text without words links to none.
-    Texts of any length are compared whole; rows with a null doc_id take part, but give no keep while others do; other
-    columns are ignored, whatever their names; an empty table gives an empty result.
+    fuzzy: near SimHash fingerprints are candidates beside bands of MinHash signatures. Texts of any length are compared
+    whole; rows with a null doc_id take part, but give no keep while others do; other columns are ignored, whatever their
+    names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     prints = cut(_prints(docs, words), "prints")
@@ -107,16 +120,19 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         low = df.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
         return df.join(low, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
 
-    first = nodes.groupBy("fp").agg(F.min("node").alias("n"))
-    fuzzy = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(first.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    groups = cut(connected_components(to_least(banded).unionByName(to_least(alike)).unionByName(fuzzy)), "groups")
+    pairs = to_least(banded)
+    if fuzzy:
+        pairs = pairs.unionByName(to_least(alike)).unionByName(_near_prints(nodes))
+    groups = cut(connected_components(pairs), "groups")
     big = groups.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = groups.join(big, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     # block pairs (i, j), i <= j: a text goes to the pairs that its block takes part in
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text"), *_identity())
-    one = texts.join(nodes.select("node", "h1", "h2", "least").join(placed, "node"), ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("least")))
-    spread = one.select("component", F.explode(pairs).alias("p"), "own", "node", F.col("text").cast("binary").alias("text"))
+    asked = nodes.select("node", F.col("h1").alias("n1"), F.col("h2").alias("n2"), "least").join(placed, "node")
+    # the document is part of the key, so the copies of a text are dealt out and not one of them is gathered with the others
+    one = texts.join(asked, (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    spread = one.select("component", F.explode(blocks).alias("p"), "own", "node", F.col("text").cast("binary").alias("text"))
     ordered = spread.select("component", "p.i", "p.j", "own", "node", "text").repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +173,9 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     any length are compared whole. Rows with a null doc_id stay only where a component has no other (one of them). Other
     columns pass through, whatever their names; an empty table gives an empty result.
     """
-    named = near_copies(docs, words, similarity).where("least <=> keep").select("h1", "h2", "keep")
+    named = near_copies(docs, words, similarity).where("least <=> keep").select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), "keep")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), *_identity())
-    kept = cut(whole.join(named, ["h1", "h2"]).where(F.col("id").eqNullSafe(F.col("keep"))).select("row", "h1", "h2"), "kept")
+    same = (F.col("h1") == F.col("n1")) & (F.col("h2") == F.col("n2")) & F.col("id").eqNullSafe(F.col("keep"))
+    kept = cut(whole.join(named, same).select("row", "h1", "h2"), "kept")
     twice = kept.groupBy("h1", "h2").count().where("count > 1").limit(1).count()
     return (kept.dropDuplicates(["h1", "h2"]) if twice else kept).select("row.*")

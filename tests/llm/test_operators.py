@@ -447,8 +447,25 @@ def test_near_copies_equal_brute_force_around_the_limit(spark):
     sets = [shingles(t) for _, t in rows]
     alike = [len(a & b) / len(a | b) for a, b in itertools.combinations(sets, 2)]
     assert sum(0.75 <= x < 0.8 for x in alike) > 5 and sum(0.8 <= x < 0.85 for x in alike) > 5
-    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r.doc_id for r in got.collect()) == smallest_of_copies(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(df).collect()) == smallest_of_copies(rows)
+    banded = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert sorted(set(banded.values())) == smallest_of_copies(rows) and sorted(banded) == sorted(i for i, _ in rows)
+
+
+def test_banded_copies_of_odd_rows(spark, docs, none):
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert got >= {(1, 1), (4, 1), (2, 2), (3, 2), (5, 5), (6, 6), (None, None)}
+    assert minhash.near_duplicates(docs).count() == len(ROWS) and minhash.near_duplicates(none).count() == 0
+
+
+def test_hashes_of_long_texts(monkeypatch):
+    from haplomill.llm import common
+
+    text = " ".join(f"w{i * i % 977}" for i in range(3000)).encode() + b"x" * 5000 + b" end"
+    whole = common.word_hashes(text)
+    monkeypatch.setattr(common, "STRETCH", 700)
+    assert (common.word_hashes(text) == whole).all() and (quality.word_ids(text) == quality.word_ids(text)).all() and len(whole) == 3001
 
 
 def test_pipeline_stages_equal_brute_force(spark):
