@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import cut, partitions, table
-from .tokens import encoder, vocabulary
+from .tokens import encoder, forget, vocabulary
 
 WINDOW, END_ID, MIN_PIECE = 2048, 1, 64
 #: Tokens of a part; a table with fewer than that many for each shuffle partition has a part for each.
@@ -118,6 +118,14 @@ class Schedule:
         return float(np.interp(part * (self.total / parts), self.due, self.pace))
 
 
+def placed_in(x: np.ndarray, size: np.ndarray, grain: int, shift: np.ndarray, late: np.ndarray, rate: np.ndarray, schedule: Schedule, parts: int) -> np.ndarray:
+    """The part of each token x of streams of `size`: that in which its grain is due; see stretches."""
+    grain = np.minimum(grain, size)
+    shift = shift % grain
+    ends = ((x + shift) // grain + 1) * grain - shift
+    return schedule.part(late + np.where(ends > size, np.maximum(ends - grain, 1), ends) / rate, parts)
+
+
 def stretches(x: int, n: int, size: int, grain: int, shift: int, late: float, rate: float, schedule: Schedule, parts: int) -> list[tuple[int, int, int]]:
     """(part, first, end) of the tokens x ... x + n of a source's stream of `size`, counted from x.
 
@@ -125,10 +133,8 @@ def stretches(x: int, n: int, size: int, grain: int, shift: int, late: float, ra
     """
     grain = min(grain, size)
     shift %= grain
-    first, last = (x + shift) // grain, (x + n - 1 + shift) // grain
-    ends = (np.arange(first, last + 1) + 1) * grain - shift
-    due = np.where(ends > size, np.maximum(ends - grain, 1), ends)
-    part = schedule.part(late + due / rate, parts)
+    ends = (np.arange((x + shift) // grain, (x + n - 1 + shift) // grain + 1) + 1) * grain - shift
+    part = placed_in(ends - 1, np.int64(size), grain, np.int64(shift), late, rate, schedule, parts)
     at = np.flatnonzero(part[1:] != part[:-1])
     cuts = [0, *(ends[at] - x).tolist(), n]
     return [(p, s, e) for p, s, e in zip([*part[at].tolist(), int(part[-1])], cuts[:-1], cuts[1:])]
@@ -206,16 +212,30 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW,
     dealt = "part long, doc_id long, source string, n long, ids binary, x long, size long, first long"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = encoder(path).dtype.itemsize
+        forget()
+        width, names = encoder(path).dtype.itemsize, [c.split()[0] for c in dealt.split(", ")]
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
+            # documents that lie in one part pass through; few are cut
+            kinds = b.column(1).dictionary_encode()
+            n, x, size, shift = (b.column(i).to_numpy() for i in (2, 4, 5, 6))
+            whole, at = kinds.dictionary.to_pylist(), kinds.indices.to_numpy()
+            sizes = np.zeros(len(whole), dtype=np.int64)
+            sizes[at] = size
+            paces = np.array([pace(s, int(k)) for s, k in zip(whole, sizes)]).reshape(-1, 2)
+            first, last = (placed_in(y, size, least, shift, paces[at, 0], paces[at, 1], schedule, parts) for y in (x, x + n - 1))
+            one = pa.array(first == last)
+            kept = b.filter(one)
+            yield pa.RecordBatch.from_arrays([pa.array(first[first == last]), *(kept.column(i) for i in range(6)), pa.array(np.zeros(kept.num_rows, np.int64))], names)
+            cut_ = b.filter(pa.array(first != last))
+            for lo in range(0, cut_.num_rows, 1000):
                 out: list[list] = [[] for _ in range(8)]
-                for doc, source, n, ids, x, size, shift in zip(*(c.to_pylist() for c in b.slice(at, 1000).columns)):
-                    late, rate = pace(source, size)
-                    for part, s, e in stretches(x, n, size, least, shift, late, rate, schedule, parts):
-                        for c, v in zip(out, (part, doc, source, n, ids[s * width : e * width], x + s, size, s)):
+                for doc, source, k, ids, y, whole_, turn in zip(*(c.to_pylist() for c in cut_.slice(lo, 1000).columns)):
+                    late, rate = pace(source, whole_)
+                    for part, s, e in stretches(y, k, whole_, least, turn, late, rate, schedule, parts):
+                        for c, v in zip(out, (part, doc, source, k, ids[s * width : e * width], y + s, whole_, s)):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], [c.split()[0] for c in dealt.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
     ordered = rows.mapInArrow(deal, dealt).repartition(min(parts, partitions(spark)), "part").sortWithinPartitions("part", "source", "x")
 
