@@ -18,6 +18,7 @@ from ..plans.components import connected_components, roots
 from .common import cut, partitions, shingle_hashes, word_hashes
 from .minhash import MinHash
 from .simhash import fingerprint, links
+from .tokens import forget
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 #: Groups of more distinct texts are compared in pairs of blocks of this size, each pair by a task of its own.
@@ -28,6 +29,7 @@ def _prints(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, h1, h2, fp, bands): h1 and h2 are 128 bits of hash of the text, bands a hash of each band of its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hasher = MinHash(BANDS * ROWS, words)
         for b in batches:
             prints, bands = [], []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import cut, mix64, span_hashes, table
-from .tokens import encoder, vocabulary
+from .tokens import encoder, forget, vocabulary
 
 WIDTH, NONZERO, REACH = 64, 8, 2
 #: Steps of a unit vector's components.
@@ -169,6 +169,7 @@ def word_vectors(texts: DataFrame, path: str) -> np.ndarray:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()
         index, total = index_vectors(n), np.zeros((rows * ROW, WIDTH), dtype=np.int64)
         for b in batches:
             for _, _, ids, _ in _pieces(b.column(0), dtype, n):
@@ -334,6 +335,7 @@ def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], path: str
 
     @F.arrow_udf("double")
     def judged(ids: pa.Array, again: pa.Array) -> pa.Array:
+        forget()
         table_, fitted = shared.value
         return pa.array(np.round(fitted.score(pooled(ids, again, table_, dtype)), 9), pa.float64())
 

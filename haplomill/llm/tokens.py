@@ -168,6 +168,26 @@ class Encoder:
         return out
 
 
+    def clear(self) -> bool:
+        """Forget what was looked up; whether there was anything."""
+        held = (self.cache, self.old, self.pieces, self.chunks, self.chunks.old, self.starts, self.starts.old)
+        some = any(held)
+        for x in held:
+            x.clear()
+        return some
+
+
+def forget() -> None:
+    """Give back the memory of this worker's lookups, for stages that encode nothing."""
+    if any([e.clear() for e in _ENCODERS.values()]):
+        import ctypes
+
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps it for itself
+            pass
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
