@@ -64,16 +64,20 @@ def switch_posterior(calls: DataFrame, hap, comp) -> DataFrame:
     """Log posterior of a switch before each variant; only fragments that span it count.
 
     Between two neighbouring calls of a fragment every switch means the same to it. So each such stretch adds its terms at
-    its beginning and takes them off at its end, summed per variant, and running sums along a component give the totals:
-    rows are as many as calls, however many variants a fragment spans.
+    its beginning and takes them off at its end, summed per variant, and running sums along a component give the totals at
+    all its variants with a call: rows are at most twice the calls, however many variants a fragment spans.
     """
     t = terms(calls, hap).withColumn("comp", comp)
     w = Window.partitionBy("frag", "comp").orderBy("snp")
     whole = Window.partitionBy("frag", "comp")
     late = F.sum(F.col("t1") - F.col("t0")).over(Window.partitionBy("frag", "comp").orderBy(F.desc("snp")).rowsBetween(Window.unboundedPreceding, 0))
     c = t.select("comp", "snp", F.lag("snp").over(w).alias("before"), late.alias("d"), F.sum("t0").over(whole).alias("p0"), F.sum("t1").over(whole).alias("p1"))
-    gap = c.where("before IS NOT NULL").select("comp", "snp", "before", log_sum(F.col("p0"), F.col("p1")).alias("x"), log_sum(F.col("p0") + F.col("d"), F.col("p1") - F.col("d")).alias("y"))
+    x, y = log_sum(F.col("p0"), F.col("p1")), log_sum(F.col("p0") + F.col("d"), F.col("p1") - F.col("d"))
+    gap = c.select("comp", "snp", "before", x.alias("x"), y.alias("y"))
     ends = F.array(F.struct(F.col("before").alias("at"), F.col("x").alias("x"), F.col("y").alias("y"), F.lit(1).alias("n")), F.struct(F.col("snp").alias("at"), (-F.col("x")).alias("x"), (-F.col("y")).alias("y"), F.lit(-1).alias("n")))
+    # a fragment's first call changes no sum, but its variant may lie inside another fragment's stretch
+    spot = F.array(F.struct(F.col("snp").alias("at"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0).alias("n")))
+    ends = F.when(F.col("before").isNull(), spot).otherwise(ends)
     deltas = gap.select("comp", F.explode(ends).alias("e")).groupBy("comp", F.col("e.at").alias("snp")).agg(F.sum("e.x").alias("x"), F.sum("e.y").alias("y"), F.sum("e.n").alias("n"))
     before = Window.partitionBy("comp").orderBy("snp").rowsBetween(Window.unboundedPreceding, -1)
     s = deltas.select("comp", "snp", F.sum("x").over(before).alias("a"), F.sum("y").over(before).alias("b"), F.sum("n").over(before).alias("n")).where("n > 0")

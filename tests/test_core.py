@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
-from haplomill.operators import calls as C, evaluate as E, link as J
+from haplomill.operators import calls as C, evaluate as E, likelihood as L, link as J
 from haplomill.plans.components import connected_components
 from haplomill.plans.phase import Component, phase
 from haplomill.sources import text as T
@@ -129,3 +129,25 @@ def test_search_goes_on_after_a_pass_without_gain():
 def test_edges_are_all_pairs_of_a_fragment():
     c = Component(np.repeat([0, 1], 20), np.tile(np.arange(20), 2), np.zeros(40, int), np.full(40, 20))
     assert len(c.edges[0]) == 190 and np.allclose(c.edges[2], c.edges[2][0])
+
+
+def test_switches_are_scored_at_every_variant_inside_a_fragment(spark):
+    # variant 5 has only a fragment of one call, variants 3 and 12 lie outside every other fragment
+    drawn = np.random.default_rng(5)
+    lone = [(100, 5, 1, 12), (101, 3, 0, 9), (102, 12, 1, 20)]
+    rows = [(f, int(s), int(drawn.integers(0, 2)), int(drawn.integers(5, 40))) for f in range(8) for s in drawn.choice([4, 6, 7, 9, 11], 3, replace=False)] + lone
+    hap = lambda s: s % 2
+    want = {}
+    for i in {r[1] for r in rows}:
+        stay, turn = [], []
+        for f in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == f]
+            if min(r[1] for r in own) < i <= max(r[1] for r in own):
+                for into, late in ((stay, 0), (turn, 1)):
+                    p = [sum(np.log10(1 - 10 ** (-q / 10)) if (a == hap(s)) ^ (side and s < i or (side ^ late) and s >= i) else -q / 10 for _, s, a, q in own) for side in (0, 1)]
+                    into.append(np.log10(sum(10 ** np.array(p))))
+        if stay:
+            want[i] = sum(turn) - np.log10(10 ** sum(stay) + 10 ** sum(turn))
+    got = {r.snp: r.post_switch for r in L.switch_posterior(spark.createDataFrame(rows, "frag long, snp long, allele int, qv int"), hap, F.lit(0).cast("long")).collect()}
+    assert set(got) == set(want) and 5 in got and not {3, 12} & set(got)
+    assert all(abs(got[i] - want[i]) < 1e-4 for i in want)
