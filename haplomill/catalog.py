@@ -118,7 +118,7 @@ def _on_one_cut(f):
     return run
 
 
-query("maxcut_phase")(lambda s, d: P.phase(cut(calls(s, d), "calls")))
+query("maxcut_phase")(lambda s, d: P.phase(cut(calls(s, d), "calls")).withColumn("ll", F.round("ll", 6)))
 query("refined_phase")(_on_one_cut(G.refine))
 query("local_genotypes")(_on_one_cut(G.genotype))
 

@@ -3,7 +3,7 @@
 A component is the unit in which haplotypes are defined, so its calls meet in one task; components run in parallel.
 Within one, a haplotype is improved by single flips and by greedy max-cuts: cuts begin at edges that the haplotype
 contradicts, variants are added to the shore that the likelihoods of their fragments favour, and the other shore is
-flipped if the likelihood of the fragments gains by it.
+flipped if the likelihood of the fragments gains by it. An exact check follows in narrow components.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from ..operators.calls import adjacent_edges
 from .components import connected_components
 
 PHASED = "comp long, snp long, hap int, ll double"
+NARROW = 10  # components of so many variants at most are checked against all haplotypes
 NEVER = -80.0  # fixed: log10 probability of crossing where nothing is known
 
 
@@ -192,9 +193,34 @@ class Component:
                 place(v, 1 if pull[v] >= 0 else -1)
         return shore == -1
 
+    def optimum(self):
+        """The best of all haplotypes and its score; the first variant's allele is 0, as the complement scores the same."""
+        def moves(t):
+            by = np.zeros((self.m, self.n))
+            np.add.at(by, (self.f, self.v), t[1] - t[0])
+            return by.T
+
+        zero = np.zeros(self.n, dtype=np.int8)
+        t = self.terms(zero)
+        p, q = self.all_sums(zero)
+        kept = moves(t)
+        crossed = kept if self.second is None else moves(self.crossed(*t))
+        top, found, step = -np.inf, None, max(1, 1_000_000 // self.m)
+        for first in range(0, 1 << (self.n - 1), step):
+            masks = np.arange(first, min(first + step, 1 << (self.n - 1)))
+            haps = (masks[:, None] << 1 >> np.arange(self.n)) & 1
+            x, y = haps @ kept, haps @ crossed
+            values = self.mixture((p[0] + x, p[1] - x), (q[0] + y, q[1] - y)).sum(axis=1)
+            k = int(values.argmax())
+            if values[k] > top:
+                top, found = float(values[k]), haps[k].astype(np.int8)
+        return found, top
+
     def solve(self, patience: int = 5, passes: int = 10_000):
         """Flips and at most one cut in each pass, until more than `patience` passes in turn bring no gain.
 
+        The search of a narrow component ends as soon as no haplotype is better; where it stays below, the best one is taken.
+
         A pass starts cuts from the edges that the haplotype contradicts most, one more than `patience`, then from
         max(1, n / 10) random edges or variants. It ends once more than `patience` of them were no better than the best one
         so far, and the best is taken if it brings a gain.
@@ -202,6 +228,7 @@ class Component:
         hap = self.spanning_start()
         if not len(self.edges[0]):
             return hap, self.score(hap)
+        proven, goal = self.optimum() if self.n <= NARROW else (None, np.inf)
         i, j, _ = self.edges
         drawn = np.random.default_rng(self.n)
         best, failed, agree = self.score(hap), 0, None
@@ -209,6 +236,9 @@ class Component:
             if self.flips(hap):
                 agree = None
             now = max(best, self.score(hap))
+            if now >= goal - 1e-9:
+                best = now
+                break
             starts = []
             if agree is None:  # else the haplotype is that of the last pass, where these starts failed
                 agree = self.agreement(hap)
@@ -232,6 +262,8 @@ class Component:
             best = now
             if failed > patience:
                 break
+        if proven is not None and goal > best + 1e-9:
+            hap, best = proven, self.score(proven)
         return hap ^ hap[0], best
 
 
@@ -251,7 +283,7 @@ def phase(calls: DataFrame, patience: int = 5) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         c = of_rows(pdf)
         hap, ll = c.solve(patience)
-        return pd.DataFrame({"comp": pdf.comp.iloc[0], "snp": c.snps, "hap": hap.astype(np.int32), "ll": round(ll, 6)})
+        return pd.DataFrame({"comp": pdf.comp.iloc[0], "snp": c.snps, "hap": hap.astype(np.int32), "ll": ll})
 
     return calls.join(comps, "snp").groupBy("comp").applyInPandas(run, PHASED)
 

@@ -151,3 +151,34 @@ def test_switches_are_scored_at_every_variant_inside_a_fragment(spark):
     got = {r.snp: r.post_switch for r in L.switch_posterior(spark.createDataFrame(rows, "frag long, snp long, allele int, qv int"), hap, F.lit(0).cast("long")).collect()}
     assert set(got) == set(want) and 5 in got and not {3, 12} & set(got)
     assert all(abs(got[i] - want[i]) < 1e-4 for i in want)
+
+
+def enumerated(c):
+    return max(c.score(np.array((0, *h), dtype=np.int8)) for h in itertools.product((0, 1), repeat=c.n - 1))
+
+
+def test_narrow_components_get_their_best_haplotype():
+    for seed in (3467, 4008, 4453, 5028, 5885):  # the search alone stays below the best
+        drawn = np.random.default_rng(seed)
+        rows = [(f, int(s), int(drawn.integers(0, 2)), int(drawn.integers(5, 41))) for f in range(10) for s in sorted(drawn.choice(6, int(drawn.integers(2, 7)), replace=False))]
+        c = Component(*map(np.array, zip(*rows)))
+        hap, ll = c.solve()
+        assert abs(ll - enumerated(c)) < 1e-9 and abs(c.score(hap) - ll) < 1e-9
+
+
+def test_best_of_all_haplotypes_with_crossing_mates():
+    for seed in range(5):
+        drawn = np.random.default_rng(seed)
+        rows = [(f, int(s), int(drawn.integers(0, 2)), int(drawn.integers(5, 41)), 3.0 if f % 3 else np.nan, -0.7 if f % 3 else np.nan) for f in range(9) for s in sorted(drawn.choice(6, 3, replace=False))]
+        c = Component(*map(np.array, zip(*rows)))
+        hap, ll = c.optimum()
+        assert hap[0] == 0 and abs(ll - enumerated(c)) < 1e-9 and abs(c.score(hap) - ll) < 1e-9 and abs(c.solve()[1] - ll) < 1e-9
+
+
+def test_loci_of_several_components_are_rounded_once(spark, tmp_path):
+    from haplomill import catalog
+
+    rows = [(12 * k + j, 2 * j + i, k + 41 * i, float(1 + (k * (5 + i) + 11 * j + 3 * i) % 30)) for k in range(60) for j in (0, 1) for i in (0, 1)]
+    spark.createDataFrame([(*r, i, "N") for i, r in enumerate(rows)], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_linenumber int, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.block: r.ll for r in catalog.QUERIES["maxcut_narrow"](spark, str(tmp_path)).collect()}
+    assert got == {r.comp: r.ll for r in catalog.QUERIES["exact_ml_phase"](spark, str(tmp_path)).collect()} and len(got) == 60
